@@ -7,14 +7,27 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.chosen_path import similar_sets
 from verdigris.llm.proportions import sample_to_targets
-from verdigris.llm.sets import item_set
+from verdigris.llm.sets import item_set, word_set
 from verdigris.llm.top_n import top_n_per_group
+from verdigris.llm.vp_forest import near_duplicate_groups
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row a grouped tool: its group, and how many tools it is linked to."""
+    tools = _t(spark, d, "tools").select("tool_id", word_set(F.col("source_text")).alias("text"), word_set(F.col("metadata.short_description")).alias("short"))
+    return near_duplicate_groups(tools, "tool_id", {"text": 1, "short": 10}, 0.7)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    g = p1_groups(spark, d).select("id", "grp")
+    other = g.select(F.col("id").alias("right_tool_id"), "grp")
+    return g.withColumnRenamed("id", "left_tool_id").join(other, "grp").where("left_tool_id < right_tool_id").select("left_tool_id", "right_tool_id")
+
+
 def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return sample_to_targets(_t(spark, d, "generation_tasks"), _t(spark, d, "task_targets"), "conversation_id", ["scenario_type", "language"])
 
@@ -67,9 +80,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top.select("conversation_id", "tool_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sample, p2_report, p4_found, p4_reported, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_sample, p2_report, p4_found, p4_reported, p5_found)}
+
+#: Words of a text as the texts' definition has them: a run of a-z and 0-9, or of Han characters each two neighbours.
+_WORDS = """w_{name} as (select distinct tool_id, unnest(case when regexp_matches(r, '^[一-鿿]{{2}}') then list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) else [r] end) w
+            from (select tool_id, unnest(regexp_extract_all(lower({column}), '[a-z0-9]+|[一-鿿]+')) r from tools)),
+        n_{name} as (select tool_id, count(*) n from w_{name} group by 1 having count(*) >= {least}),
+        c_{name} as (select a.tool_id x, b.tool_id y from w_{name} a join w_{name} b on a.w = b.w and a.tool_id < b.tool_id
+            join n_{name} n on n.tool_id = a.tool_id join n_{name} m on m.tool_id = b.tool_id group by 1, 2 having count(*) * 10 >= 7 * (any_value(n.n) + any_value(m.n) - count(*)))"""
 
 ORACLES = {
+    "p1_found": f"""
+        with recursive {_WORDS.format(name="text", column="source_text", least=1)},
+        {_WORDS.format(name="short", column="metadata.short_description", least=10)},
+        e as (select x, y from c_text union select x, y from c_short),
+        b as (select x, y from e union select y, x from e),
+        r as (select x, y from b union select r.x, b.y from r join b on r.y = b.x)
+        select distinct x left_tool_id, y right_tool_id from r where x < y""",
     "p2_found": """
         with t as (select conversation_id, min(lower(trim(scenario_type))) s, min(lower(trim(language))) l from generation_tasks
                    where conversation_id is not null group by 1),
