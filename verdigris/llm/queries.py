@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm.chosen_path import similar_sets
+from verdigris.llm.overlap import overlapping_ids, split_overlap
 from verdigris.llm.proportions import sample_to_targets
 from verdigris.llm.sets import item_set, word_set
 from verdigris.llm.top_n import top_n_per_group
@@ -44,6 +45,30 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d)[1]
 
 
+def _bundle(spark: SparkSession, d: str) -> DataFrame:
+    b = _t(spark, d, "dataset_bundle").select("conversation_id", F.lower(F.trim("split")).alias("split"), "source")
+    return b.where("conversation_id is not null and split in ('train', 'valid', 'test')").distinct()
+
+
+def _overlap(spark: SparkSession, d: str) -> DataFrame:
+    texts = _t(spark, d, "pair_examples").select("conversation_id", "conversation_text").where("conversation_text is not null").distinct()
+    splits = _bundle(spark, d).select("conversation_id", "split").distinct()
+    return overlapping_ids(*split_overlap(texts.join(splits, "conversation_id"), "conversation_id", "conversation_text", "split"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    p = _overlap(spark, d)
+    return p.select(F.least("eval_id", "train_id").alias("left_conversation_id"), F.greatest("eval_id", "train_id").alias("right_conversation_id")).distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per split and source of the evaluation side: its conversations, those that overlap, and the pairs."""
+    of = _bundle(spark, d).where("split <> 'train'").groupBy("conversation_id", "split").agg(F.min("source").alias("source"))
+    hit = _overlap(spark, d).groupBy(F.col("eval_id").alias("conversation_id")).agg(F.count("*").alias("pairs"))
+    rows = of.join(hit, "conversation_id", "left").groupBy("split", "source")
+    return rows.agg(F.count("*").alias("conversations"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+
 def _keywords(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Classes and pairs over the tools and the runtime pool; ids carry their table as a prefix."""
     tools = _t(spark, d, "tools").select(F.concat(F.lit("t"), "tool_id").alias("id"), item_set(F.col("metadata.keywords")).alias("items"))
@@ -80,7 +105,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top.select("conversation_id", "tool_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_sample, p2_report, p4_found, p4_reported, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_sample, p2_report, p3_found, p3_report, p4_found, p4_reported, p5_found)}
 
 #: Words of a text as the texts' definition has them: a run of a-z and 0-9, or of Han characters each two neighbours.
 _WORDS = """w_{name} as (select distinct tool_id, unnest(case when regexp_matches(r, '^[一-鿿]{{2}}') then list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) else [r] end) w
@@ -104,6 +129,14 @@ ORACLES = {
         z as (select count(*) // 5 k from t)
         select g.scenario_type, g.language from task_targets g cross join z left join n on n.s = lower(trim(g.scenario_type)) and n.l = lower(trim(g.language))
         where coalesce(n.c, 0) < greatest(g.min_count, g.target_share * z.k)""",
+    "p3_found": """
+        with b as (select distinct conversation_id, lower(trim(split)) s from dataset_bundle where lower(trim(split)) in ('train', 'valid', 'test')),
+        w as (select distinct conversation_id, s, regexp_extract_all(lower(conversation_text), '[a-z0-9]+|[一-鿿]') w from pair_examples join b using (conversation_id) where conversation_text is not null),
+        g as (select distinct conversation_id, s, unnest(list_transform(range(1, length(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) g from w),
+        n as (select conversation_id, count(*) n from g where s <> 'train' group by 1)
+        select distinct least(e.conversation_id, t.conversation_id) left_conversation_id, greatest(e.conversation_id, t.conversation_id) right_conversation_id
+        from g e join g t on e.g = t.g and e.s <> 'train' and t.s = 'train' join n on n.conversation_id = e.conversation_id
+        group by e.conversation_id, t.conversation_id having count(*) * 4 >= 3 * any_value(n.n)""",
     "p4_found": """
         with u as (select tool_id, 1 o, metadata.keywords k from tools union all select tool_id, 0, keywords from runtime_pool),
         w as (select distinct tool_id, o, lower(trim(x)) x from (select tool_id, o, unnest(k) x from u) where x is not null and trim(x) <> ''),

@@ -22,9 +22,12 @@ def word_sequence(text: Column) -> Column:
 
 def shingle_set(text: Column, width: int = 3) -> Column:
     """The distinct runs of ``width`` successive words, hashed; empty for shorter texts, null for a null text."""
-    w = word_sequence(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda k: F.xxhash64(*(F.get(w, k + (j - 1)) for j in range(width))))
-    return F.when(F.size(w) >= width, F.array_distinct(runs)).when(text.isNotNull(), F.array().cast("array<bigint>"))
+
+    def runs(w: Column) -> Column:  # w is a bound variable: the words are split once, not once an element
+        hashed = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda k: F.xxhash64(*(F.get(w, k + (j - 1)) for j in range(width))))
+        return F.when(F.size(w) >= width, F.array_distinct(hashed)).when(w.isNotNull(), F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(word_sequence(text)), runs), 0)
 
 
 def item_set(values: Column) -> Column:

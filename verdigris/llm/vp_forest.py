@@ -32,6 +32,7 @@ class Forest:
         self.spread = (1 - threshold) / (1 + threshold)
         prints, _ = self.fingerprints(sample)
         nodes, rng = (1 << depth) - 1, np.random.default_rng(seed)
+        near = int(np.median(self.reach(np.fromiter(map(len, sample), np.int64, len(sample))))) if len(sample) else 0
         self.vantage, self.radius = np.zeros((blocks, nodes), np.uint64), np.zeros((blocks, nodes), np.int64)
         for b in range(blocks):
             points, at = prints[:, b], np.zeros(len(sample), np.int64)
@@ -39,16 +40,26 @@ class Forest:
                 own = points[at == node]
                 if not len(own):
                     own = points
-                v = own[rng.integers(len(own))]
-                d = np.sort(np.bitwise_count(own ^ v).astype(np.int64))
-                # the median, or the value under it where that halves the points better
-                mid = d[len(d) // 2]
-                lower = np.searchsorted(d, mid, "left")
-                upper = np.searchsorted(d, mid, "right")
-                self.vantage[b, node], self.radius[b, node] = v, mid - (len(d) - 2 * lower < 2 * upper - len(d))
+                self.vantage[b, node], self.radius[b, node] = self._best(own, near, rng)
+                v = self.vantage[b, node]
                 here = at == node
                 at[here] = 2 * node + 1 + (np.bitwise_count(points[here] ^ v).astype(np.int64) > self.radius[b, node])
 
+    @staticmethod
+    def _best(points: np.ndarray, near: int, rng: np.random.Generator, tries: int = 12) -> tuple[np.uint64, int]:
+        """The vantage point and radius, of some tried, with the fewest comparisons to be expected: on either
+        side, its points times the asking balls of radius ``near`` that reach it."""
+        best = None
+        for v in points[rng.integers(len(points), size=tries)]:
+            upto = np.cumsum(np.bincount(np.bitwise_count(points ^ v), minlength=65 + 2 * near)).astype(float)
+            cuts = np.arange(65)
+            inside, beyond, short = upto[cuts], upto[cuts + near], upto[np.maximum(cuts - near, -1)] * (cuts >= near)
+            cost = inside * beyond + (len(points) - inside) * (len(points) - short)
+            c = int(np.argmin(cost))
+            if best is None or cost[c] < best[0]:
+                best = cost[c], v, c
+        return best[1], best[2]
+
     @classmethod
     def of(cls, state: dict) -> Forest:
         forest = cls.__new__(cls)
@@ -89,7 +100,7 @@ class Forest:
         return row, node - ((1 << self.depth) - 1)
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: float = 0.7, min_items: int = 1, leaf_size: int = 512, reach: int = 1) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: float = 0.7, min_items: int = 1, leaf_size: int = 1024, reach: int = 1) -> tuple[DataFrame, DataFrame]:
     """All different item sets with a Jaccard similarity of at least ``threshold``: exact, none is missed.
 
     ``items`` is an array of hashes; sets with fewer than ``min_items`` do not count, nor do null and empty
