@@ -40,3 +40,10 @@ def drop_materialised(df: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(name)
         if folder in name:
             path.getFileSystem(conf).delete(path.getParent(), True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores where the files give fewer partitions than there are cores (one small file, one row
+    group); a table of many splits passes unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
