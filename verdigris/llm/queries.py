@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm.chosen_path import similar_sets
+from verdigris.llm.mixing import mix_sources
 from verdigris.llm.overlap import overlapping_ids, split_overlap
+from verdigris.llm.packing import pack, pack_report
 from verdigris.llm.proportions import sample_to_targets
 from verdigris.llm.sets import item_set, word_set
+from verdigris.llm.tokens import token_count
 from verdigris.llm.top_n import top_n_per_group
 from verdigris.llm.vp_forest import near_duplicate_groups
+from verdigris.plans.scratch import spread
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -105,7 +109,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top.select("conversation_id", "tool_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_sample, p2_report, p3_found, p3_report, p4_found, p4_reported, p5_found)}
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(_t(spark, d, "documents").select("doc_id", "source", "text"))
+    return docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_sizes(spark, d), "doc_id", "tokens", _t(spark, d, "pack_sizes"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return pack_report(p6_pack(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(_sizes(spark, d), "doc_id", "source", "tokens", _t(spark, d, "source_weights"))[0]
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(_sizes(spark, d), "doc_id", "source", "tokens", _t(spark, d, "source_weights"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_sample, p2_report, p3_found, p3_report, p4_found, p4_reported, p5_found, p6_pack, p6_report, p7_mix, p7_report)}
 
 #: Words of a text as the texts' definition has them: a run of a-z and 0-9, or of Han characters each two neighbours.
 _WORDS = """w_{name} as (select distinct tool_id, unnest(case when regexp_matches(r, '^[一-鿿]{{2}}') then list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) else [r] end) w
