@@ -13,9 +13,10 @@ def _share(part: Column, whole: Column, num: int, den: int) -> Column:
     return part * den >= whole * num
 
 
-def split_overlap(records: DataFrame, id_col: str, text: str, split: str, train: str = "train", width: int = 3, share: tuple[int, int] = (3, 4)) -> tuple[DataFrame, DataFrame]:
+def split_overlap(texts: DataFrame, splits: DataFrame, id_col: str, text: str, split: str, train: str = "train", width: int = 3, share: tuple[int, int] = (3, 4), agree: int = 8) -> tuple[DataFrame, DataFrame]:
     """Which texts outside the split ``train`` have ``share`` of their distinct word runs within a training text.
 
+    ``texts`` has the id and its text, in any number of rows; ``splits`` the id and its split.
     Returns ``members(id, txt, ev, tr)``, the distinct text of each id and whether the id is on the evaluation or
     the training side, and ``pairs(e, t, common, contained)`` of distinct texts, ``e`` the evaluation text. Equal
     texts are one text, so copies cost nothing; a text on both sides pairs with itself. Rows with a null id,
@@ -24,30 +25,33 @@ def split_overlap(records: DataFrame, id_col: str, text: str, split: str, train:
 
     The shared part of a long training text may be small, so signatures tuned to a Jaccard similarity would lose
     pairs. The minwise bands here are one-sided: a training text stands in the bucket of each of its hashed
-    shingles; an evaluation text of n shingles, of which f = n - ceil(share * n) may be missing, takes its f + 1
-    least hashes and probes those buckets only. Of any f + 1 shingles a true partner has at least one, so no pair is
-    lost. Hashes are ordered in bands of document frequency, rare ones first: shingles that no training text
-    has count among the f + 1 and need no probe (most texts end there), and the buckets of stock phrases, which
+    shingles; an evaluation text of n shingles, of which f = n - ceil(share * n) may be missing, takes its
+    f + ``agree`` least hashes and probes those buckets only. Of any f + c shingles a true partner has at least c, so a
+    pair met in fewer than ``agree`` buckets goes and no true pair is lost. Hashes are ordered in bands of document frequency, rare ones first: shingles that no training text
+    has count among the f + c and need no probe (most texts end there), and the buckets of stock phrases, which
     hold most texts, are not opened. Candidates are verified on whole shingle sets.
     """
     num, den = share
-    rows = records.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"), F.lower(F.trim(F.col(split))).alias("split"))
-    rows = rows.where("id is not null and text is not null and split is not null")
+    rows = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     rows = rows.withColumn("txt", F.concat(F.hex(F.xxhash64("text")), F.lit("."), F.hex(F.xxhash64(F.lit(11), F.col("text")))))
-    rows = materialise(rows.select("id", "txt", "text", (F.col("split") != train).alias("ev"), (F.col("split") == train).alias("tr")), "texts")
-    members = rows.select("id", "txt", "ev", "tr").distinct()
-    texts = rows.groupBy("txt", "text").agg(F.max("ev").alias("ev"), F.max("tr").alias("tr"))
-    texts = materialise(texts.withColumn("rid", F.monotonically_increasing_id()), "texts")
+    sides = splits.select(F.col(id_col).cast("string").alias("id"), F.lower(F.trim(F.col(split))).alias("split")).where("id is not null and split is not null")
+    sides = sides.groupBy("id").agg(F.max(F.col("split") != train).alias("ev"), F.max(F.col("split") == train).alias("tr"))
+    members = materialise(rows.select("id", "txt").distinct().join(sides, "id"), "members")
+    flags = members.groupBy("txt").agg(F.max("ev").alias("ev"), F.max("tr").alias("tr"))
+    pool = rows.select("txt", "text").distinct().join(flags, "txt")
+    pool = materialise(pool.withColumn("rid", F.monotonically_increasing_id()), "texts")
     sets = shingle_set(F.col("text"), width)
-    index = texts.where("tr").select("rid", F.explode(sets).alias("s")).repartition("s")
+    index = pool.where("tr").select("rid", F.explode(sets).alias("s")).repartition("s")
     spread = index.groupBy("s").agg(F.count("rid").alias("df"))
-    asked = texts.where("ev").select(F.col("rid").alias("e"), sets.alias("x")).select("e", F.size("x").alias("n"), F.explode("x").alias("s"))
+    asked = pool.where("ev").select(F.col("rid").alias("e"), sets.alias("x")).select("e", F.size("x").alias("n"), F.explode("x").alias("s"))
     order = Window.partitionBy("e").orderBy(F.coalesce("df", F.lit(0)), "s")
     free = F.col("n") - F.ceil(F.col("n") * num / den)
-    probes = asked.join(spread, "s", "left").withColumn("k", F.row_number().over(order)).where((F.col("k") <= free + 1) & F.col("df").isNotNull())
-    near = materialise(probes.select("e", "s").join(index, "s").select("e", F.col("rid").alias("t")).distinct(), "near")
+    probes = asked.join(spread, "s", "left").withColumn("k", F.row_number().over(order)).where((F.col("k") <= free + agree) & F.col("df").isNotNull())
+    probes = probes.select("e", "s", F.least(F.lit(agree), F.col("n") - free).alias("least"))
+    met = probes.join(index, "s").groupBy("e", F.col("rid").alias("t")).agg(F.count("*").alias("met"), F.first("least").alias("least"))
+    near = materialise(met.where("met >= least").select("e", "t"), "near")
     needed = near.select(F.col("e").alias("rid")).union(near.select("t")).distinct()
-    held = texts.select("rid", "txt", "text").join(needed, "rid", "left_semi").withColumn("x", sets).drop("text")
+    held = pool.select("rid", "txt", "text").join(needed, "rid", "left_semi").withColumn("x", sets).drop("text")
     held = materialise(held, "held")
     one = held.select(F.col("rid").alias("e"), F.col("txt").alias("e_txt"), F.col("x").alias("left"))
     two = held.select(F.col("rid").alias("t"), F.col("txt").alias("t_txt"), F.col("x").alias("right"))

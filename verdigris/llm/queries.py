@@ -55,9 +55,8 @@ def _bundle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _overlap(spark: SparkSession, d: str) -> DataFrame:
-    texts = _t(spark, d, "pair_examples").select("conversation_id", "conversation_text").where("conversation_text is not null").distinct()
-    splits = _bundle(spark, d).select("conversation_id", "split").distinct()
-    return overlapping_ids(*split_overlap(texts.join(splits, "conversation_id"), "conversation_id", "conversation_text", "split"))
+    pairs = split_overlap(_t(spark, d, "pair_examples"), _bundle(spark, d), "conversation_id", "conversation_text", "split")
+    return overlapping_ids(*pairs)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
