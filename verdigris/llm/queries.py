@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm.chosen_path import similar_sets
+from verdigris.llm.crf import toxic_documents
 from verdigris.llm.mixing import mix_sources
 from verdigris.llm.overlap import overlapping_ids, split_overlap
 from verdigris.llm.packing import pack, pack_report
@@ -129,7 +130,22 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(_sizes(spark, d), "doc_id", "source", "tokens", _t(spark, d, "source_weights"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_sample, p2_report, p3_found, p3_report, p4_found, p4_reported, p5_found, p6_pack, p6_report, p7_mix, p7_report)}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(_t(spark, d, "documents").select("doc_id", "source", "text"))
+    return toxic_documents(docs, _t(spark, d, "doc_labels"), keep=("source",)).withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("score >= 0.5").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    rows = p8_scores(spark, d).groupBy(F.lower(F.trim("source")).alias("source"))
+    hit = (F.col("score") >= 0.5).cast("int")
+    return rows.agg(F.count("*").alias("documents"), F.sum(hit).alias("flagged"), F.avg(hit).alias("rate"), F.avg("score").alias("mean_score"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_sample, p2_report, p3_found, p3_report, p4_found, p4_reported, p5_found, p6_pack, p6_report, p7_mix, p7_report, p8_found, p8_scores, p8_rates)}
 
 #: Words of a text as the texts' definition has them: a run of a-z and 0-9, or of Han characters each two neighbours.
 _WORDS = """w_{name} as (select distinct tool_id, unnest(case when regexp_matches(r, '^[一-鿿]{{2}}') then list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) else [r] end) w
