@@ -44,9 +44,11 @@ def split_overlap(texts: DataFrame, splits: DataFrame, id_col: str, text: str, s
     index = pool.where("tr").select("rid", F.explode(sets).alias("s")).repartition("s")
     spread = index.groupBy("s").agg(F.count("rid").alias("df"))
     asked = pool.where("ev").select(F.col("rid").alias("e"), sets.alias("x")).select("e", F.size("x").alias("n"), F.explode("x").alias("s"))
-    order = Window.partitionBy("e").orderBy(F.coalesce("df", F.lit(0)), "s")
+    # shingles without a training text come first in the order; they are counted and need not travel
+    own = Window.partitionBy("e")
     free = F.col("n") - F.ceil(F.col("n") * num / den)
-    probes = asked.join(spread, "s", "left").withColumn("k", F.row_number().over(order)).where((F.col("k") <= free + agree) & F.col("df").isNotNull())
+    known = asked.join(spread, "s").withColumn("lost", F.col("n") - F.count("s").over(own)).where(F.col("lost") <= free)
+    probes = known.withColumn("k", F.col("lost") + F.row_number().over(own.orderBy("df", "s"))).where(F.col("k") <= free + agree)
     probes = probes.select("e", "s", F.least(F.lit(agree), F.col("n") - free).alias("least"))
     met = probes.join(index, "s").groupBy("e", F.col("rid").alias("t")).agg(F.count("*").alias("met"), F.first("least").alias("least"))
     near = materialise(met.where("met >= least").select("e", "t"), "near")

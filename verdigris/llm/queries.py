@@ -130,18 +130,21 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(_sizes(spark, d), "doc_id", "source", "tokens", _t(spark, d, "source_weights"))[1]
 
 
+TOXIC = 0.35
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(_t(spark, d, "documents").select("doc_id", "source", "text"))
-    return toxic_documents(docs, _t(spark, d, "doc_labels"), keep=("source",)).withColumnRenamed("id", "doc_id")
+    return toxic_documents(docs, _t(spark, d, "doc_labels"), keep=("source",), threshold=TOXIC).withColumnRenamed("id", "doc_id")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_scores(spark, d).where("score >= 0.5").select("doc_id")
+    return p8_scores(spark, d).where(F.col("score") >= TOXIC).select("doc_id")
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     rows = p8_scores(spark, d).groupBy(F.lower(F.trim("source")).alias("source"))
-    hit = (F.col("score") >= 0.5).cast("int")
+    hit = (F.col("score") >= TOXIC).cast("int")
     return rows.agg(F.count("*").alias("documents"), F.sum(hit).alias("flagged"), F.avg(hit).alias("rate"), F.avg("score").alias("mean_score"))
 
 
