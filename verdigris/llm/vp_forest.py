@@ -100,13 +100,14 @@ class Forest:
         return row, node - ((1 << self.depth) - 1)
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: float = 0.7, min_items: int = 1, leaf_size: int = 1024, reach: int = 1) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: float = 0.7, min_items: int = 1, leaf_size: int = 4096, reach: int = 3) -> tuple[DataFrame, DataFrame]:
     """All different item sets with a Jaccard similarity of at least ``threshold``: exact, none is missed.
 
     ``items`` is an array of hashes; sets with fewer than ``min_items`` do not count, nor do null and empty
     ones. Returns ``members(id, cls)`` and ``pairs(a, b)`` of classes, each pair once. The number of blocks is
     set from the mean set size so that a ball's radius in a block is ``reach`` bits for a set of that size; of
-    two sets the smaller asks, as its radius is the smaller one.
+    two sets the smaller asks, as its radius is the smaller one. Each leaf is a shard: its fingerprints and the balls
+    that may touch it come together in order of size and are compared as arrays, a bounded part at a time.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -147,15 +148,53 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: floa
                 yield frame(f, b, leaf, x, row, prints, sketch)
 
     rows = classes.select("rid", "n", "items")
-    there = rows.mapInPandas(indexed, schema).alias("x")
-    asks = rows.mapInPandas(asking, schema).alias("q")
+    there = materialise(rows.mapInPandas(indexed, schema), "shards")
+    # a leaf of many like fingerprints is cut into parts of bounded size, and asked part by part
+    parts = there.groupBy("slot").agg(F.ceil(F.count("*") / (2 * leaf_size)).cast("int").alias("parts")).where("parts > 1")
+    held = there.join(parts, "slot", "left").withColumn("part", F.pmod(F.xxhash64("rid"), F.coalesce("parts", F.lit(1))).cast("int"))
+    asks = rows.mapInPandas(asking, schema).join(parts, "slot", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    both = held.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True))).drop("parts")
     spread = (1 - threshold) / (1 + threshold)
-    room = spread * (F.col("q.n") + F.col("x.n")) + 1e-9
-    apart = lambda c: F.bit_count(F.col(f"q.{c}").bitwiseXOR(F.col(f"x.{c}")))
-    near = (F.col("q.slot") == F.col("x.slot")) & ((F.col("q.n") < F.col("x.n")) | ((F.col("q.n") == F.col("x.n")) & (F.col("q.rid") < F.col("x.rid"))))
-    near &= apart("fp") * blocks <= room
-    near &= sum((apart(w) for w in sketches[1:]), apart(sketches[0])) <= room
-    pairs = asks.join(there, near).select(F.col("q.rid").alias("p"), F.col("x.rid").alias("r")).distinct()
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, shard = None, []
+        for x in batches:
+            slot, part, asking_ = x["slot"].to_numpy(), x["part"].to_numpy(), x["asks"].to_numpy()
+            rid, n, fp = x["rid"].to_numpy(), x["n"].to_numpy(), x["fp"].to_numpy().view(np.uint64)
+            wide_ = np.stack([x[w].to_numpy().view(np.uint64) for w in sketches], 1)
+            cuts = np.flatnonzero((slot[1:] != slot[:-1]) | (part[1:] != part[:-1]) | (asking_[1:] != asking_[:-1])) + 1
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(x))):
+                if (slot[lo], part[lo]) != key:
+                    key, shard = (slot[lo], part[lo]), []
+                if not asking_[lo]:
+                    shard.append((rid[lo:hi], n[lo:hi], fp[lo:hi], wide_[lo:hi]))
+                    continue
+                if len(shard) > 1:
+                    shard = [tuple(map(np.concatenate, zip(*shard)))]
+                if not shard:
+                    continue
+                sr, sn, sf, sw = shard[0]
+                for at in range(lo, hi, 256):  # both sides are sorted by size, and a partner's is bounded
+                    q = slice(at, min(at + 256, hi))
+                    first, last = np.searchsorted(sn, n[q][0], "left"), np.searchsorted(sn, n[q][-1] / threshold + 1e-9, "right")
+                    if first == last:
+                        continue
+                    most = np.minimum((spread * (n[q] + n[q] / threshold) + 1e-9) // blocks, 64).astype(np.uint8)
+                    i, j = np.nonzero(np.bitwise_count(fp[q][:, None] ^ sf[None, first:last]) <= most[:, None])
+                    i, j = i + at, j + first
+                    room = spread * (n[i] + sn[j]) + 1e-9
+                    ok = (n[i] < sn[j]) | ((n[i] == sn[j]) & (rid[i] < sr[j]))
+                    ok &= np.bitwise_count(fp[i] ^ sf[j]) * float(blocks) <= room
+                    i, j, room = i[ok], j[ok], room[ok]
+                    ok = np.bitwise_count(wide_[i] ^ sw[j]).sum(1) <= room
+                    if ok.any():
+                        found.append((rid[i[ok]], sr[j[ok]]))
+            if found:
+                p, r = map(np.concatenate, zip(*found))
+                yield pd.DataFrame({"p": p, "r": r})
+
+    pairs = both.repartition("slot", "part").sortWithinPartitions("slot", "part", "asks", "n").mapInPandas(compare, "p long, r long").distinct()
     pairs = materialise(pairs, "pairs")
     one = classes.select(F.col("rid").alias("p"), F.col("cls").alias("a"), F.col("items").alias("left"))
     two = classes.select(F.col("rid").alias("r"), F.col("cls").alias("b"), F.col("items").alias("right"))
