@@ -31,11 +31,12 @@ def similar_sets(df: DataFrame, id_col: str, items: str, threshold: float = 0.6,
     In each of ``trees`` trees a node's sets are branched on the items which the node's random function picks,
     with probability ``boost / (threshold * r)`` for a set with r items left, so that a qualifying pair shares
     ``boost`` child nodes on average. Nodes of at most ``node_size`` sets are compared within; larger ones,
-    such as those of items in a third of all sets, branch again, without the items of their path. At most one
-    class of a node has no item left (the path itself): it is compared with all of its node. So no node is cut
-    or capped and no large node is ever compared within. A pair that meets in one item is missed by a tree with
-    probability below 0.2 and by all twelve with about 1e-8; one that meets only in items common enough to
-    branch again is missed by a tree with 0.5 at most, and by all with 2e-4. Pairs found are verified exactly.
+    such as those of items in a third of all sets, branch again, without the items of their path. All sets of a node
+    share its path, so in a large node those pairs are taken, and only those, which the d items of the path alone
+    make similar enough: no node is cut or capped, and no large node is compared within beyond its true pairs. A pair
+    that meets in one item is missed by a tree with probability below 0.2 and by all twelve with about 1e-8; one that
+    has to share all items in large nodes (some near copies of one set, many more than ``node_size``) may be missed by a
+    tree with 0.6 and by all with 0.002. Pairs found are verified exactly.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -47,14 +48,15 @@ def similar_sets(df: DataFrame, id_col: str, items: str, threshold: float = 0.6,
     found: list[DataFrame] = []
     steps: list[DataFrame] = []
 
-    def near(x: DataFrame, y: DataFrame, both: bool) -> DataFrame:
-        y = y.select(F.col("node").alias("node_"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sketch_"))
-        on = (F.col("node") == F.col("node_")) & ((F.col("cls") < F.col("b")) if both else (F.col("cls") != F.col("b")))
+    def near(x: DataFrame, most: float | None = None) -> DataFrame:
+        y = x.select(F.col("node").alias("node_"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sketch_"))
+        on = (F.col("node") == F.col("node_")) & (F.col("cls") < F.col("b"))
+        if most is not None:
+            on &= F.col("n") + F.col("m") <= most + 1e-9
         on &= F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_"))) <= spread * (F.col("n") + F.col("m")) + 1e-9
-        p = x.join(y, on)
-        return p.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+        return x.join(y, on).select(F.col("cls").alias("a"), "b").distinct()
 
-    for _ in range(max_depth):
+    for depth in range(1, max_depth + 1):
         chance = F.least(F.lit(1.0), boost / (threshold * F.size("rest")))
         picked = F.filter("rest", lambda x: _u(F.col("node"), x, F.lit(seed)) < chance)
         down = level.select("cls", "n", "sketch", "rest", "node", F.explode(picked).alias("item"))
@@ -63,10 +65,9 @@ def similar_sets(df: DataFrame, id_col: str, items: str, threshold: float = 0.6,
         down = materialise(down.join(sizes, "node"), "nodes")
         steps.append(down)
         small = down.where(F.col("here") <= node_size)
-        found.append(near(small, small, True))
+        found.append(near(small))
         level = down.where(F.col("here") > node_size)
-        ended = level.where(F.size("rest") == 0)
-        found.append(near(ended, level, False))
+        found.append(near(level.where(F.col("n") * threshold <= depth + 1e-9), depth * (1 + threshold) / threshold))
         level = level.where(F.size("rest") > 0)
         if level.isEmpty():
             break
