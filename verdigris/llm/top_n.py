@@ -51,10 +51,9 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 3
             for at in range(0, len(x), 50_000):
                 yield x.iloc[at : at + 50_000]
 
-    # both sides of the join below need this partitioning, so the plan computes it once and reuses it
-    near = rows.mapInPandas(local, "g string, i string, s double, bound double").repartition("g")
-    bounds = near.groupBy("g").agg(F.max("bound").alias("least"))
-    left = near.join(bounds.withColumnRenamed("g", "h"), F.col("g") == F.col("h")).where("least is null or s >= least")
+    near = rows.mapInPandas(local, "g string, i string, s double, bound double")
+    # the window joins each group's highest bound to its rows within the one exchange that ranking needs anyway
+    left = near.withColumn("least", F.max("bound").over(Window.partitionBy("g"))).where("least is null or s >= least")
     left = left.groupBy("g", "i").agg(F.max("s").alias("s"))
     w = Window.partitionBy("g").orderBy(F.desc("s"), F.asc("i"))
     ranked = left.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= n)
