@@ -45,6 +45,9 @@ def ordinal(df: DataFrame, major: str, minor: Sequence[str], name: str = "ord")
 
 def spearman(df: DataFrame, left: str, right: str, by: Sequence[str] = ()) -> DataFrame:
     """The rank correlation of two columns within ``by``; 0 where a column is constant."""
-    both = average_rank(average_rank(df.select(*by, left, right), left, by, "x"), right, by, "y")
-    constant = (F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))
-    return both.groupBy(*by).agg(F.when(constant, F.lit(0.0)).otherwise(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("spearman"))
+    # renamed first, so that no column of the table can clash with a rank
+    rows = df.select(*by, F.col(left).alias("left_"), F.col(right).alias("right_"))
+    both = average_rank(average_rank(rows, "left_", by, "x_"), "right_", by, "y_")
+    constant = (F.min("x_") == F.max("x_")) | (F.min("y_") == F.max("y_"))
+    r = F.try_divide(F.covar_pop("x_", "y_"), F.stddev_pop("x_") * F.stddev_pop("y_"))
+    return both.groupBy(*by).agg(F.when(constant, F.lit(0.0)).otherwise(r).alias("spearman"))
