@@ -89,6 +89,33 @@ def test_forest_is_exact(spark, leaf, reach):
     assert expand(*near_duplicate_pairs(df, "id", "items", 0.7, 1, leaf, reach)) == near(rows, 0.7)
 
 
+@pytest.mark.parametrize("leaf", [16, 4096])
+def test_spanning_pairs_connect_the_same(spark, leaf):
+    rows = [(i, x) for i, x in sets(5, 300, True, (5, 40))]
+    r = random.Random(6)
+    base = {f"b{k}" for k in range(60)}
+    rows += [(f"hot{k:03}", base - set(r.sample(sorted(base), 5)) | {f"e{r.randint(0, 99)}"}) for k in range(200)]
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in rows], "id string, kw array<string>").withColumn("items", item_set(F.col("kw")))
+
+    def groups(pairs):
+        top = {i: i for i, _ in rows}
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a, b in pairs:
+            top[max(find(a), find(b))] = min(find(a), find(b))
+        return {i: find(i) for i in top}
+
+    members, pairs = near_duplicate_pairs(df, "id", "items", 0.7, 1, leaf, spanning=True)
+    got, want = expand(members, pairs), near(rows, 0.7)
+    assert got <= want and groups(got) == groups(want)
+    hot = [p for p in want if p[0].startswith("hot") and p[1].startswith("hot")]
+    assert len([p for p in got if p in set(hot)]) < len(hot) / 2
+
+
 def test_groups_close_chains(spark):
     base = [f"w{k}" for k in range(40)]
     chain = [(f"c{j}", [w for w in base if w not in base[:j]] + [f"n{k}" for k in range(j)]) for j in range(0, 30, 3)]

@@ -23,7 +23,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row a grouped tool: its group, and how many tools it is linked to."""
+    """One row a grouped tool: its group."""
     tools = _t(spark, d, "tools").select("tool_id", word_set(F.col("source_text")).alias("text"), word_set(F.col("metadata.short_description")).alias("short"))
     return near_duplicate_groups(tools, "tool_id", {"text": 1, "short": 10}, 0.7)
 

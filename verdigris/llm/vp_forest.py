@@ -100,9 +100,13 @@ class Forest:
         return row, node - ((1 << self.depth) - 1)
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: float = 0.7, min_items: int = 1, leaf_size: int = 4096, reach: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: float = 0.7, min_items: int = 1, leaf_size: int = 4096, reach: int = 3, spanning: bool = False) -> tuple[DataFrame, DataFrame]:
     """All different item sets with a Jaccard similarity of at least ``threshold``: exact, none is missed.
 
+    With ``spanning``, pairs enough to connect what all pairs connect: sets that agree in a whole block are first
+    linked to one of them, where they are similar, and the search then leaves out pairs within what is linked. A
+    great cluster of copies with small edits so costs a star of links and not all its pairs.
+
     ``items`` is an array of hashes; sets with fewer than ``min_items`` do not count, nor do null and empty
     ones. Returns ``members(id, cls)`` and ``pairs(a, b)`` of classes, each pair once. The number of blocks is
     set from the mean set size so that a ball's radius in a block is ``reach`` bits for a set of that size; of
@@ -120,10 +124,10 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: floa
     depth = max(0, min(math.ceil(math.log2(max(total, 1) / leaf_size)), int(math.log2(max(len(sample), 2))) - 1))
     forest = df.sparkSession.sparkContext.broadcast(vars(Forest(sample, blocks, wide, depth, threshold)))
     sketches = [f"w{k}" for k in range(wide)]
-    schema = "slot int, rid long, n int, fp long, " + ", ".join(f"{w} long" for w in sketches)
+    schema = "slot int, rid long, n int, fp long, grp long, " + ", ".join(f"{w} long" for w in sketches)
 
     def frame(f: Forest, b: int, leaf: np.ndarray, x: pd.DataFrame, row: np.ndarray, prints: np.ndarray, sketch: np.ndarray) -> pd.DataFrame:
-        out = {"slot": ((b << f.depth) + leaf).astype(np.int32), "rid": x["rid"].to_numpy()[row], "n": x["n"].to_numpy().astype(np.int32)[row], "fp": prints[row, b].view(np.int64)}
+        out = {"slot": ((b << f.depth) + leaf).astype(np.int32), "rid": x["rid"].to_numpy()[row], "n": x["n"].to_numpy().astype(np.int32)[row], "fp": prints[row, b].view(np.int64), "grp": x["grp"].to_numpy()[row]}
         return pd.DataFrame(out | {w: sketch[row, k].view(np.int64) for k, w in enumerate(sketches)})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,20 +151,42 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: floa
                 row, leaf = f.shards(prints[:, b], reach, b)
                 yield frame(f, b, leaf, x, row, prints, sketch)
 
-    rows = classes.select("rid", "n", "items")
+    rows = classes.select("rid", "n", "items", F.col("rid").alias("grp"))
     there = materialise(rows.mapInPandas(indexed, schema), "shards")
+    spread = (1 - threshold) / (1 + threshold)
+    scale = 10 ** max(1, min(9, len(repr(threshold).split(".")[-1])))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = classes.select(F.col("rid").alias("p"), F.col("cls").alias("a"), F.col("items").alias("left"))
+        two = classes.select(F.col("rid").alias("r"), F.col("cls").alias("b"), F.col("items").alias("right"))
+        both = pairs.join(one, "p").join(two, "r").withColumn("common", F.size(F.array_intersect("left", "right")))
+        whole = F.col("common") * scale >= math.floor(threshold * scale + 0.5) * (F.size("left") + F.size("right") - F.col("common"))
+        return both.where(whole).select("p", "r", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    star = None
+    if spanning:
+        cols = ["rid", "n", *sketches]
+        heads = there.groupBy("slot", "fp").agg(F.min(F.struct(*cols)).alias("h"), F.count("*").alias("like")).where("like > 1")
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"h.{w}"))) for w in sketches[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("h.w0"))))
+        star = there.join(heads, ["slot", "fp"]).where((F.col("rid") != F.col("h.rid")) & (apart <= spread * (F.col("n") + F.col("h.n")) + 1e-9))
+        star = materialise(verified(star.select(F.col("h.rid").alias("p"), F.col("rid").alias("r")).distinct()), "star")
+        # a set goes with the least one it is linked to, and with the one that goes with: all of a name are connected
+        near = materialise(star.groupBy(F.col("r").alias("rid")).agg(F.min("p").alias("grp")), "linked")
+        upper = near.select(F.col("rid").alias("grp"), F.col("grp").alias("up"))
+        linked = near.join(upper, "grp", "left").select("rid", F.coalesce("up", "grp").alias("grp"))
+        rows = rows.drop("grp").join(linked, "rid", "left").withColumn("grp", F.coalesce("grp", "rid"))
+        there = there.drop("grp").join(linked, "rid", "left").withColumn("grp", F.coalesce("grp", "rid"))
     # a leaf of many like fingerprints is cut into parts of bounded size, and asked part by part
     parts = there.groupBy("slot").agg(F.ceil(F.count("*") / (2 * leaf_size)).cast("int").alias("parts")).where("parts > 1")
     held = there.join(parts, "slot", "left").withColumn("part", F.pmod(F.xxhash64("rid"), F.coalesce("parts", F.lit(1))).cast("int"))
     asks = rows.mapInPandas(asking, schema).join(parts, "slot", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     both = held.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True))).drop("parts")
-    spread = (1 - threshold) / (1 + threshold)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, shard = None, []
         for x in batches:
             slot, part, asking_ = x["slot"].to_numpy(), x["part"].to_numpy(), x["asks"].to_numpy()
-            rid, n, fp = x["rid"].to_numpy(), x["n"].to_numpy(), x["fp"].to_numpy().view(np.uint64)
+            rid, n, fp, grp = x["rid"].to_numpy(), x["n"].to_numpy(), x["fp"].to_numpy().view(np.uint64), x["grp"].to_numpy()
             wide_ = np.stack([x[w].to_numpy().view(np.uint64) for w in sketches], 1)
             cuts = np.flatnonzero((slot[1:] != slot[:-1]) | (part[1:] != part[:-1]) | (asking_[1:] != asking_[:-1])) + 1
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -168,13 +194,13 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: floa
                 if (slot[lo], part[lo]) != key:
                     key, shard = (slot[lo], part[lo]), []
                 if not asking_[lo]:
-                    shard.append((rid[lo:hi], n[lo:hi], fp[lo:hi], wide_[lo:hi]))
+                    shard.append((rid[lo:hi], n[lo:hi], fp[lo:hi], wide_[lo:hi], grp[lo:hi]))
                     continue
                 if len(shard) > 1:
                     shard = [tuple(map(np.concatenate, zip(*shard)))]
                 if not shard:
                     continue
-                sr, sn, sf, sw = shard[0]
+                sr, sn, sf, sw, sg = shard[0]
                 for at in range(lo, hi, 256):  # both sides are sorted by size, and a partner's is bounded
                     q = slice(at, min(at + 256, hi))
                     first, last = np.searchsorted(sn, n[q][0], "left"), np.searchsorted(sn, n[q][-1] / threshold + 1e-9, "right")
@@ -185,6 +211,8 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: floa
                     i, j = i + at, j + first
                     room = spread * (n[i] + sn[j]) + 1e-9
                     ok = (n[i] < sn[j]) | ((n[i] == sn[j]) & (rid[i] < sr[j]))
+                    if spanning:
+                        ok &= grp[i] != sg[j]
                     ok &= np.bitwise_count(fp[i] ^ sf[j]) * float(blocks) <= room
                     i, j, room = i[ok], j[ok], room[ok]
                     ok = np.bitwise_count(wide_[i] ^ sw[j]).sum(1) <= room
@@ -195,41 +223,26 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: floa
                 yield pd.DataFrame({"p": p, "r": r})
 
     pairs = both.repartition("slot", "part").sortWithinPartitions("slot", "part", "asks", "n").mapInPandas(compare, "p long, r long").distinct()
-    pairs = materialise(pairs, "pairs")
-    one = classes.select(F.col("rid").alias("p"), F.col("cls").alias("a"), F.col("items").alias("left"))
-    two = classes.select(F.col("rid").alias("r"), F.col("cls").alias("b"), F.col("items").alias("right"))
-    both = pairs.join(one, "p").join(two, "r").withColumn("common", F.size(F.array_intersect("left", "right")))
-    scale = 10 ** max(1, min(9, len(repr(threshold).split(".")[-1])))
-    whole = F.col("common") * scale >= math.floor(threshold * scale + 0.5) * (F.size("left") + F.size("right") - F.col("common"))
-    return members, both.where(whole).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = verified(materialise(pairs, "pairs"))
+    found = found.union(star) if star is not None else found
+    return members, found.select("a", "b")
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, fields: dict[str, int], threshold: float = 0.7) -> DataFrame:
-    """Which group each id is in: ``id, grp, links``, for ids linked to at least one other.
+    """Which group each id is in: ``id, grp``, for ids linked to at least one other.
 
     ``fields`` names array columns of hashes, each with the least set size for which it counts. Two ids are
     linked if a field's sets are similar enough or equal; groups are all that is linked directly or through
-    others, named by their smallest id. ``links`` counts the ids linked directly, over all fields, as classes
-    count them: an id in several fields' links counts in each. Repeated rows of an id count once; an id with
-    several contents is linked by each of them. Nulls, empty sets and empty tables give no row.
+    others, named by their smallest id. Repeated rows of an id count once; an id with several contents is linked by
+    each of them. Nulls, empty sets and empty tables give no row; other columns do not matter.
     """
-    edges, links = [], []
+    edges = None
     for name, least in fields.items():
-        members, pairs = near_duplicate_pairs(df.where(F.col(id_col).isNotNull()), id_col, name, threshold, least)
-        members, pairs = materialise(members, "members"), materialise(pairs, "links")
-        heads = members.groupBy("cls").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
-        edges.append(members.join(heads, "cls").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
-        x, y = heads.select(F.col("cls").alias("a"), F.col("head").alias("h"), F.col("copies").alias("c")), heads.select(F.col("cls").alias("b"), F.col("head").alias("i"), F.col("copies").alias("d"))
-        ends = pairs.join(x, "a").join(y, "b")
-        edges.append(ends.select(F.col("h").alias("a"), F.col("i").alias("b")))
-        count = ends.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("d").alias("k")), F.struct(F.col("b").alias("cls"), F.col("c").alias("k")))).alias("e")).select("e.*")
-        count = count.groupBy("cls").agg(F.sum("k").alias("k"))
-        links.append(members.join(heads, "cls").join(count, "cls", "left").select("id", (F.coalesce("k", F.lit(0)) + F.col("copies") - 1).alias("k")))
-    all_edges, all_links = edges[0], links[0]
-    for e in edges[1:]:
-        all_edges = all_edges.union(e)
-    for e in links[1:]:
-        all_links = all_links.union(e)
-    groups = connected_components(all_edges)
-    total = all_links.groupBy("id").agg(F.sum("k").alias("links"))
-    return groups.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(total, "id").select("id", "grp", "links")
+        members, pairs = near_duplicate_pairs(df.where(F.col(id_col).isNotNull()), id_col, name, threshold, least, spanning=True)
+        members = materialise(members, "members")
+        heads = members.groupBy("cls").agg(F.min("id").alias("head"))
+        copies = members.join(heads, "cls").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+        x, y = (heads.select(F.col("cls").alias(c), F.col("head").alias(f"h{c}")) for c in "ab")
+        own = copies.union(pairs.join(x, "a").join(y, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")))
+        edges = own if edges is None else edges.union(own)
+    return connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("grp"))
