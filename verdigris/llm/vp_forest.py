@@ -170,10 +170,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, items: str, threshold: floa
         apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"h.{w}"))) for w in sketches[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("h.w0"))))
         star = there.join(heads, ["slot", "fp"]).where((F.col("rid") != F.col("h.rid")) & (apart <= spread * (F.col("n") + F.col("h.n")) + 1e-9))
         star = materialise(verified(star.select(F.col("h.rid").alias("p"), F.col("rid").alias("r")).distinct()), "star")
-        # a set goes with the least one it is linked to, and with the one that goes with: all of a name are connected
-        near = materialise(star.groupBy(F.col("r").alias("rid")).agg(F.min("p").alias("grp")), "linked")
-        upper = near.select(F.col("rid").alias("grp"), F.col("grp").alias("up"))
-        linked = near.join(upper, "grp", "left").select("rid", F.coalesce("up", "grp").alias("grp"))
+        linked = materialise(connected_components(star, "p", "r").select(F.col("node").alias("rid"), F.col("component").alias("grp")), "linked")
         rows = rows.drop("grp").join(linked, "rid", "left").withColumn("grp", F.coalesce("grp", "rid"))
         there = there.drop("grp").join(linked, "rid", "left").withColumn("grp", F.coalesce("grp", "rid"))
     # a leaf of many like fingerprints is cut into parts of bounded size, and asked part by part
