@@ -177,6 +177,22 @@ def _by_sentence(tokens: Tokens, values: np.ndarray) -> np.ndarray:
     return (np.bincount(tokens.sentence, values) / np.maximum(n, 1))[tokens.sentence]
 
 
+def sentence_scores(tokens: Tokens, p: np.ndarray) -> np.ndarray:
+    """The mean probability of the likelier half of a sentence's tokens (three at least), for every token: names and
+    times that fill a passage's slots do not dilute it."""
+    if not len(p):
+        return p
+    order = np.lexsort((-p, tokens.sentence))
+    own = tokens.sentence[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    n = np.diff(np.append(first, len(own)))
+    taken = np.maximum((n + 1) // 2, np.minimum(3, n))
+    kept = np.arange(len(own)) - np.repeat(first, n) < np.repeat(taken, n)
+    out = np.empty(len(p))
+    out[order] = np.repeat(np.add.reduceat(p[order] * kept, first) / taken, n)
+    return out
+
+
 class Labelled:
     """Whole documents that are known to hold such a passage or not."""
 
@@ -219,11 +235,11 @@ def feature_counts(documents: DataFrame, text: str, wanted: np.ndarray) -> tuple
 
 
 def score_texts(crf: Crf, texts: list[str], ids: _Ids, spans_from: float) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """Per text: the highest mean probability of a sentence, and from ``spans_from`` on the character ranges of its
+    """Per text: the highest score of a sentence, and from ``spans_from`` on the character ranges of its
     tagged runs."""
     tokens = Tokens(texts, ids)
     p = crf.tag(tokens, tokens.features())
-    mean = _by_sentence(tokens, p)
+    mean = sentence_scores(tokens, p)
     out, spans = np.zeros(len(texts)), [[] for _ in texts]
     np.maximum.at(out, tokens.doc, mean)
     bounds = np.searchsorted(tokens.doc, np.arange(len(texts) + 1))
@@ -240,7 +256,7 @@ def score_texts(crf: Crf, texts: list[str], ids: _Ids, spans_from: float) -> tup
     return out, spans
 
 
-def toxic_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.35, max_flagged: int = 3000, max_clean: int = 5000, max_chars: int = 20_000, seed: int = 1) -> DataFrame:
+def toxic_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.4, max_flagged: int = 3000, max_clean: int = 5000, max_chars: int = 20_000, seed: int = 1) -> DataFrame:
     """``id, *keep, score, spans`` of every row of ``documents``; score is 0 for null and empty texts.
 
     ``labels(doc_id, label)`` holds a class or ``none``; null labels do not count, and a document labelled more than

@@ -130,7 +130,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(_sizes(spark, d), "doc_id", "source", "tokens", _t(spark, d, "source_weights"))[1]
 
 
-TOXIC = 0.35
+TOXIC = 0.4
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
