@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.catalog.bindings import pairs, table, tools
 from verdigris.catalog.ranking import rounded
-from verdigris.operators import policy
+from verdigris.operators import consent, policy
 
 _FIELDS = ("conversation_text", "latest_user_text", "scenario_type", "relevance_mode", "latest_user_actionability", "authorization_level")
 
@@ -38,7 +38,19 @@ def policy_cross(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, "cross")
 
 
-QUERIES = {f.__name__: f for f in (policy_conv, policy_tool, policy_interaction, policy_cross)}
+def _consent(spark: SparkSession, d: str, second: bool) -> DataFrame:
+    return rounded(consent.consent_features(pairs(spark, d), consent.consent_signals(_conversations(spark, d)), consent.tool_abilities(tools(spark, d)), second))
+
+
+def policy_action_consent(spark: SparkSession, d: str) -> DataFrame:
+    return _consent(spark, d, False)
+
+
+def policy_action_consent_b(spark: SparkSession, d: str) -> DataFrame:
+    return _consent(spark, d, True)
+
+
+QUERIES = {f.__name__: f for f in (policy_conv, policy_tool, policy_interaction, policy_cross, policy_action_consent, policy_action_consent_b)}
 
 
 def _score(text: str, patterns: tuple[str, ...]) -> str:
@@ -72,3 +84,26 @@ ORACLES = {
             conv_actionable * tool_file actionable_x_file, conv_actionable * tool_agent actionable_x_agent, conv_refusal * greatest(tool_monitoring, tool_emotion) refusal_x_monitoring, conv_refusal * tool_message refusal_x_message from p join c using (conversation_id) join f using (tool_id))
         select conversation_id, tool_id, {_R(policy.CROSSES)} from j""",
 }
+
+
+def _signal(base: tuple[str, ...], patterns: dict[str, tuple[str, ...]]) -> str:
+    return f"greatest({', '.join([*base, *(_score({'text': 'txt', 'user': 'usr', 'mode': 'md'}[t], p) for t, p in patterns.items())])})"
+
+
+_SIGNALS = f"{_CONV}, s as (select conversation_id, {', '.join(f'{_signal(*v)} sig_{k}' for k, v in consent.SIGNALS.items())} from c join (select * rename (\"user\" as usr, \"mode\" as md) from b) using (conversation_id))"
+_ABILITIES = f"""{_TOOL}, g0 as (select tool_id, {', '.join(f"greatest({', '.join([*b, *([_score('t', p)] if p else [])])}) abl_{k}" for k, (b, p) in consent.ABILITIES.items())}, greatest(tool_file, tool_research, tool_study) * (1 - tool_external) abl_read_only from f join w using (tool_id)),
+    g as (select *, abl_op_read_or_fetch * (1 - greatest({', '.join(f'abl_{k}' for k in consent.SIDE_EFFECTS)})) abl_op_read_only from g0)"""
+
+
+def _product(signal: str | None, names: tuple[str, ...]) -> str:
+    parts = ([f"sig_{signal}"] if signal else []) + ([f"greatest({', '.join(f'abl_{n}' for n in names)})"] if names else [])
+    return " * ".join(parts)
+
+
+_JOIN = "from p join s using (conversation_id) join g using (tool_id)"
+ORACLES["policy_action_consent"] = f"with {_SIGNALS}, {_ABILITIES}, {_P} select conversation_id, tool_id, {', '.join(f'round({_product(*v)}, 6) {k}' for k, v in consent.CONSENT.items())} {_JOIN}"
+ORACLES["policy_action_consent_b"] = f"""with {_SIGNALS}, {_ABILITIES}, {_P} select conversation_id, tool_id, {', '.join(f'round({_product(*v)}, 6) {k}' for k, v in consent.CONSENT_B.items())},
+    round(greatest(sig_wants_read_or_fetch * abl_op_read_or_fetch, sig_wants_local_write * abl_op_local_write, sig_wants_external_action * abl_op_external_action, sig_wants_agentic_operation * abl_op_agentic_operation), 6) acb_weak_operation_match,
+    round(sig_call * greatest(sig_wants_local_write * abl_op_local_write, sig_wants_external_action * abl_op_external_action, sig_wants_agentic_operation * abl_op_agentic_operation), 6) acb_strong_operation_match,
+    round(greatest(sig_denies_search * abl_op_read_or_fetch, sig_denies_upload * abl_op_external_action, sig_denies_message * abl_op_external_action, sig_denies_file_access * abl_op_read_or_fetch, sig_denies_monitoring * greatest(abl_op_background_monitor, abl_op_user_state_inference),
+        sig_denies_control * greatest(abl_op_device_or_environment_control, abl_op_agentic_operation)), 6) acb_denied_operation_conflict {_JOIN}"""
