@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.catalog.bindings import judgments, table, tasks, tools
 from verdigris.catalog.ranking import rounded
-from verdigris.operators import jobs, pairs, sampling, universe
+from verdigris.operators import generation, jobs, pairs, sampling, universe
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +39,28 @@ def dry_run_judgment(spark: SparkSession, d: str) -> DataFrame:
     return t.select("conversation_id", "tool_id", score.alias("raw_score"))
 
 
+def dry_run_axes(spark: SparkSession, d: str) -> DataFrame:
+    """As the query above, for all axes."""
+    t = generation.scenario_metadata(tasks(spark, d)).select("conversation_id", "relevance_mode", F.posexplode(F.array_sort(F.array_distinct("target_tool_ids"))).alias("pos", "tool_id"))
+    rows = generation.dry_run_axes(t.withColumn("is_target", F.col("pos") % 2 == 0))
+    return rows.select("conversation_id", "tool_id", "axis", "raw_score")
+
+
+def scenario_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """P25: tasks by what goes with their scenario."""
+    return generation.scenario_metadata(tasks(spark, d)).groupBy("authorization_level", "relevance_mode").agg(F.count("*").alias("tasks"))
+
+
+def tool_fields(spark: SparkSession, d: str) -> DataFrame:
+    """P7."""
+    return generation.tool_fields(table(spark, d, "tools").select("tool_id", "kind", "source_text", "metadata").dropDuplicates(["tool_id"]))
+
+
+def conversation_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """P26, P27 over the whole catalogue."""
+    return generation.conversation_tasks(spark, tools(spark, d).select("tool_id", "kind"), 5000, 2)
+
+
 def quality_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(universe.quality_summary(_candidates(spark, d), judgments(spark, d), tools(spark, d)))
 
@@ -89,7 +111,7 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
 
 
-QUERIES = {f.__name__: f for f in (coverage_missing_extra, pending_jobs, prune_errors, dry_run_judgment, quality_summary, plugin_exposures, anchor_join, render_tools, render_tool_lists, sample_candidates, split_groups, sample_numbers, run_summary)}
+QUERIES = {f.__name__: f for f in (coverage_missing_extra, pending_jobs, prune_errors, dry_run_judgment, dry_run_axes, scenario_metadata, tool_fields, conversation_tasks, quality_summary, plugin_exposures, anchor_join, render_tools, render_tool_lists, sample_candidates, split_groups, sample_numbers, run_summary)}
 
 _TASKS = "t as (select conversation_id, min(target_tool_ids) target_tool_ids, min(lower(trim(scenario_type))) scenario_type, min(lower(trim(language))) language from generation_tasks where conversation_id is not null group by 1)"
 _TOOLS = "u as (select tool_id, any_value(kind) kind, any_value(source_text) source_text, any_value(metadata.name) name from tools group by 1)"
@@ -101,6 +123,21 @@ ORACLES = {
     "dry_run_judgment": f"""with {_TASKS}, l as (select conversation_id, scenario_type, list_sort(list_distinct(target_tool_ids)) ids from t), e as (select conversation_id, scenario_type, unnest(ids) tool_id, unnest(range(len(ids))) pos from l)
         select conversation_id, tool_id, case when pos % 2 = 0 then case when scenario_type like '%no\\_tool' escape '\\' then 24.0 when contains(scenario_type, 'weak') then 58.0 else 92.0 end
             when starts_with(tool_id, 'agent.') then greatest(15.0, 35.0 - pos) else greatest(2.0, 20.0 - pos) end::double raw_score from e""",
+    "dry_run_axes": f"""with {_TASKS}, l as (select conversation_id, scenario_type s, list_sort(list_distinct(target_tool_ids)) ids from t), e as (select conversation_id, s, unnest(ids) tool_id, unnest(range(len(ids))) pos from l),
+        m as (select *, pos % 2 = 0 aim, s in ('companion_chat_no_tool', 'emotional_support_no_tool', 'boundary_or_refusal_no_tool', 'memory_recall_no_tool', 'open_thread_followup_no_tool', 'assistant_suggested_tool_no_auth') no,
+            s in ('screen_context_weak_tool', 'proactive_context_weak_tool', 'ambiguous_need_clarification') weak from e),
+        v as (select conversation_id, tool_id, case when aim then 88 else greatest(8, 35 - pos) end::double capability_match, case when coalesce(no, false) then 25 when coalesce(weak, false) then 55 else 88 end::double action_demand, case when aim then 82 else greatest(5, 30 - pos) end::double target_specificity,
+            case when coalesce(no, false) then 35 when coalesce(weak, false) then 58 else 82 end::double consent_boundary, case when starts_with(tool_id, 'agent.') then 72 else 42 end::double intervention_cost,
+            case when coalesce(no, false) and aim then 35 when coalesce(weak, false) then 62 else 76 end::double companionship_fit, case when coalesce(no, false) and aim then 20 when coalesce(weak, false) and aim then 52 when aim then 90 else 12 end::double final_preference from m)
+        unpivot v on columns(* exclude (conversation_id, tool_id)) into name axis value raw_score""",
+    "scenario_metadata": f"""with {_TASKS} select case when scenario_type in ('explicit_plugin_action', 'agentic_task') then 'explicit' when scenario_type in ('ambiguous_need_clarification', 'screen_context_weak_tool', 'passive_event') then 'implied' else 'none' end authorization_level,
+        case when scenario_type in ('companion_chat_no_tool', 'emotional_support_no_tool', 'boundary_or_refusal_no_tool', 'memory_recall_no_tool', 'open_thread_followup_no_tool', 'assistant_suggested_tool_no_auth') then 'no_tool_or_low_relevance'
+            when scenario_type in ('screen_context_weak_tool', 'proactive_context_weak_tool', 'ambiguous_need_clarification') then 'weak_or_requires_confirmation' else 'actionable_tool_relevance' end relevance_mode, count(*) tasks from t group by 1, 2""",
+    "tool_fields": """with u as (select tool_id, any_value(kind) kind, any_value(source_text) st, any_value(metadata) m from tools group by 1),
+        f as (select tool_id, concat_ws(chr(10), 'tool_id: ' || tool_id, 'kind: ' || kind, 'id: ' || nullif(m.id, ''), 'name: ' || nullif(m.name, ''), 'type: ' || nullif(m.type, '')) identity,
+            coalesce(nullif(concat_ws(chr(10), 'description: ' || nullif(m.description, ''), 'short_description: ' || nullif(m.short_description, '')), ''), st) description,
+            concat_ws(chr(10), 'keywords: ' || list_aggregate(list_transform(m.keywords, lambda x: coalesce(x, 'None')), 'string_agg', ', '), case when len(m.keywords) = 0 then 'keywords: ' end, 'capability_key: ' || m.capability_key, 'method: ' || m.method, 'passive: ' || case when m.passive then 'True' when not m.passive then 'False' end, 'priority: ' || m.priority) c from u)
+        select tool_id, identity, description, coalesce(nullif(c, ''), description) capabilities from f""",
     "quality_summary": f"""with {_TOOLS}, c as (select distinct sample_id, tool_id from pair_examples where sample_id is not null and tool_id is not null), j as (select sample_id, tool_id, raw_score from pair_examples where sample_id is not null and tool_id is not null and not isnan(raw_score) and raw_score between 0 and 100),
         a as (select tool_id from u where kind = 'agent'), k as (select sample_id, sum((tool_id in (select tool_id from a))::int) n from c group by 1), o as (select sample_id from (from c except select sample_id, tool_id from j) union select sample_id from (select sample_id, tool_id from j except from c))
         select (select count(*) from k) samples, (select count(*) from c where tool_id in (select tool_id from u where kind = 'plugin')) plugin_exposures, (select count(*) from k where n < (select count(*) from a)) missing_agent_samples, (select count(*) from o) invalid_judgment_samples,

@@ -52,7 +52,7 @@ def recommend_actions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slates(spark: SparkSession, d: str) -> DataFrame:
-    """The three kinds of slate that need no draw."""
+    """The four kinds of slate that need no draw."""
     return rounded(actions.slates(_states(spark, d)).where("slate <> 'sampled'").select("state_id", "slate", "place", "tool_id"))
 
 
@@ -62,6 +62,15 @@ def slate_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.select("state_id", "slate", actions.dry_run_slate_score(F.col("n"), F.col("strong")).alias("score")))
 
 
+def policy_loss(spark: SparkSession, d: str) -> DataFrame:
+    """The anchor and the over-recommending slate of each state, rewarded by their lengths and rated by gain."""
+    states = _states(spark, d)
+    chosen = actions.slates(states).where("slate in ('anchor', 'over_recommend')")
+    judged = chosen.groupBy("state_id", "slate").agg(F.count("*").cast("double").alias("slate_score"))
+    out = actions.group_loss(states, chosen, judged, chosen.select("state_id", "slate", "tool_id", F.round("gain", 6).alias("rating")), entropy_weight=0.01)
+    return rounded(out, 4)
+
+
 def feedback_advantages(spark: SparkSession, d: str) -> DataFrame:
     rows = pairs(spark, d).select(F.col("conversation_id").alias("state_id"), "tool_id", F.col("label").alias("rating"), F.when(F.length("tool_id") % 2 == 0, "disable").otherwise("enable").alias("action"))
     return rounded(actions.feedback_advantages(rows).select("state_id", "tool_id", "advantage"))
@@ -79,12 +88,15 @@ def loss_lambda_ndcg(spark: SparkSession, d: str) -> DataFrame:
     return rounded(losses.lambda_loss(pairs(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (vector_cosine, pair_vector_features, masked_means, late_interaction, desired_state_gap, recommend_actions, slates, slate_scores, feedback_advantages, loss_margin, loss_listnet, loss_lambda_ndcg)}
+QUERIES = {f.__name__: f for f in (vector_cosine, pair_vector_features, masked_means, late_interaction, desired_state_gap, recommend_actions, slates, slate_scores, policy_loss, feedback_advantages, loss_margin, loss_listnet, loss_lambda_ndcg)}
 
 _V = "a as (select label, arg_min(embedding, vec_id) anchor from embeddings group by 1), v as (select vec_id, embedding::double[] e, anchor::double[] a from embeddings join a using (label))"
 _GAP = f"""{PAIRS}, s0 as (select conversation_id state_id, tool_id, label score, length(tool_id) % 2 = 0 enabled, 1 / (1 + exp(-label)) desired_probability from p),
     s as (select *, case when enabled then 1 - desired_probability else desired_probability end gain, 0.75 threshold from s0)"""
-_SLATE = f"""{_GAP}, k as (select state_id, tool_id, gain, 'anchor' slate from s where gain > 0.75 union all select state_id, tool_id, gain, 'conservative' from s where gain > 0.85 union all select state_id, tool_id, gain, 'over_recommend' from s where gain > 0.75 - 0.18::double),
+_SLATE = f"""{_GAP}, k as (select state_id, tool_id, gain, 'anchor' slate from s where gain > 0.75 union all select state_id, tool_id, gain, 'conservative' from s where gain > 0.85 union all select state_id, tool_id, gain, 'over_recommend' from s where gain > 0.75 - 0.18::double
+        union all select state_id, tool_id, gain, 'hard_negative' from (select *, count(*) over w n, sum((gain > 0.75)::int) over w g, row_number() over (partition by state_id order by gain, tool_id desc) e,
+            row_number() over (partition by state_id, gain > 0.75 order by gain desc, tool_id) sd, row_number() over (partition by state_id, gain > 0.75 order by gain, tool_id desc) su from s window w as (partition by state_id))
+            where case when g = n then e = 1 when gain > 0.75 then sd < g else su = 1 end),
     r as (select *, row_number() over (partition by state_id, slate order by gain desc, tool_id) place from k qualify place <= 5)"""
 
 ORACLES = {
@@ -100,6 +112,13 @@ ORACLES = {
     "recommend_actions": f"with {_GAP} select state_id, tool_id, case when enabled then 'disable' else 'enable' end \"action\", round(gain, 6) gain, row_number() over (partition by state_id order by gain desc, tool_id) place from s where gain > threshold qualify place <= 5",
     "slates": f"with {_SLATE} select state_id, slate, place, tool_id from r",
     "slate_scores": f"with {_SLATE}, c as (select state_id, slate, count(*) n, sum((gain >= 0.75)::int) g from r group by 1, 2) select state_id, slate, round(greatest(-1, least(1, (0.8 * g - 0.4 * (n - g)) / n - 0.15 * greatest(0, n - 2))), 6)::double score from c",
+    "policy_loss": f"""with {_SLATE}, c as (select * from r where slate in ('anchor', 'over_recommend')), j as (select state_id, slate, count(*)::double sc from c group by 1, 2), q as (select state_id, tool_id, 1 / (1 + exp(-(gain - threshold) / 0.1)) q from s),
+        l as (select j.state_id, j.slate, q.tool_id, case when c.tool_id is not null then ln(greatest(q, 1e-8)) else ln(greatest(1 - q, 1e-8)) end lp from j join q using (state_id) left join c on c.state_id = j.state_id and c.slate = j.slate and c.tool_id = q.tool_id),
+        a as (select state_id, slate, sc, case when stddev_pop(sc) over w > 1e-6 then (sc - avg(sc) over w) / stddev_pop(sc) over w else 0 end adv from j window w as (partition by state_id)),
+        p1 as (select state_id, -avg(adv * t) sl, avg(sc) mr from a join (select state_id, slate, sum(lp) t from l group by 1, 2) using (state_id, slate) group by 1),
+        b as (select state_id, slate, tool_id, case when stddev_pop(round(gain, 6)) over w > 1e-6 then (round(gain, 6) - avg(round(gain, 6)) over w) / stddev_pop(round(gain, 6)) over w else 0 end adv from c window w as (partition by state_id, slate)),
+        p2 as (select state_id, -avg(adv * lp) al from b join l using (state_id, slate, tool_id) group by 1), e as (select state_id, -avg(q * ln(greatest(q, 1e-8)) + (1 - q) * ln(greatest(1 - q, 1e-8))) en from q group by 1)
+        select state_id, round(sl, 4) slate_loss, round(coalesce(al, 0), 4) action_loss, round(sl + 0.35 * coalesce(al, 0) - 0.01 * en, 4) loss, round(mr, 4) mean_reward from p1 left join p2 using (state_id) join e using (state_id)""",
     "feedback_advantages": f"""with {PAIRS}, x as (select conversation_id state_id, tool_id, label - avg(label) over w g, stddev_pop(label) over w s from p window w as (partition by conversation_id))
         select state_id, tool_id, round(case when length(tool_id) % 2 = 0 then -1 else 1 end * case when s > 1e-6 then g / s else g end, 6) advantage from x""",
     "loss_margin": f"""with {PAIRS}, x as (select conversation_id, tool_id, prediction, label, row_number() over (partition by conversation_id order by label desc, tool_id desc) b, row_number() over (partition by conversation_id order by label, tool_id) w from p),

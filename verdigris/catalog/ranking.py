@@ -96,10 +96,9 @@ def cv_aggregate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checkpoint_best(spark: SparkSession, d: str) -> DataFrame:
-    """Folds as epochs: the best by quality, and by a weighting of quality and safety."""
+    """Folds as epochs: the best by each of five objectives."""
     rows = _folds(spark, d).withColumnRenamed("fold", "epoch")
-    goals = {"ndcg5": F.round("ndcg_at_5", 6), "regret5": F.round(-F.col("top5_regret"), 6), "safety": F.round(F.col("ndcg_at_5") - 0.5 * F.col("bad_top3_rate"), 6)}
-    return reports.best_epochs(rows, goals)
+    return reports.best_epochs(rows, {k: F.round(v, 6) for k, v in reports.checkpoint_scores().items()})
 
 
 def trend_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +167,7 @@ _TOOL_SLICES = " union all ".join(
     + [f"select conversation_id, tool_id, label, prediction, '{k}' slice from y where regexp_matches(lower(concat_ws(chr(10), tool_id, tool_text)), '{'|'.join(v)}')" for k, v in slices.TOOL_SLICES.items()]
 )
 _TEXT = f"{PAIRS}, s as (select tool_id, any_value(source_text) tool_text from tools group by 1), y as (select p.*, s.tool_text from p left join s using (tool_id))"
-_FOLD = f"{PAIRS}, x as (select *, substr(conversation_id, 6, 8)::int % 5 fold from p), {facts('fold,')}, m as (select fold, sum((best_tool = pred_tool)::int) / count(*) top1_match, avg(n3) ndcg_at_3, avg(n5) ndcg_at_5, avg(best_label - m3) top3_regret, avg(best_label - m5) top5_regret, sum(b3::int) / count(*) bad_top3_rate from e group by 1), q as (select fold, avg(abs(prediction::float::double - label::float::double)) mae from x group by 1), k as (select * from m join q using (fold))"
+_FOLD = f"{PAIRS}, x as (select *, substr(conversation_id, 6, 8)::int % 5 fold from p), {facts('fold,')}, m as (select fold, sum((best_tool = pred_tool)::int) / count(*) top1_match, avg(n3) ndcg_at_3, avg(n5) ndcg_at_5, avg(best_label - m3) top3_regret, avg(best_label - m5) top5_regret, sum(b3::int) / count(*) bad_top3_rate, sum(b5::int) / count(*) bad_top5_rate, sum(tk::int) / count(*) topk_recall, sum(h5) / greatest(1, sum(hv)) hv5, sum(hpr) / greatest(1, sum(hp)) hcp, sum((best_label < 0.8 and top_pred >= 0.8)::int) / greatest(1, sum((best_label < 0.8)::int)) fp from e group by 1), q as (select fold, avg(abs(prediction::float::double - label::float::double)) mae from x group by 1), k as (select * from m join q using (fold))"
 
 ORACLES = {
     "metrics_overall": f"""with {virtual()}, mm as (select conversation_id, avg(prediction) m from p group by 1),
@@ -216,7 +215,8 @@ ORACLES = {
     "dataset_inspection": f"with {PAIRS}, g as (select count(*) n from p group by conversation_id) select (select count(*) from g) \"groups\", (select min(n) from g) min_size, (select max(n) from g) max_size, (select round(avg(n), 6) from g) mean_size, count(*) pairs, round(min(label), 6) min_label, round(max(label), 6) max_label, round(avg(label), 6) mean_label, sum((label >= 0.8)::int) high_labels from p",
     "add_virtual": f"with {virtual(0.25, 0.5, 0.75)} select conversation_id, tool_id, round(label, 6) label, scenario_type from v",
     "cv_aggregate": f"with {_FOLD}, u as (unpivot (select top1_match, ndcg_at_3, ndcg_at_5, mae, top3_regret from k) on * into name metric value value) select metric, round(avg(value), 6) mean, round(stddev_samp(value), 6) std, round(min(value), 6) min, round(max(value), 6) max from u group by 1",
-    "checkpoint_best": f"""with {_FOLD}, u as (select fold epoch, 'ndcg5' objective, round(ndcg_at_5, 6) score from k union all select fold, 'regret5', round(-top5_regret, 6) from k union all select fold, 'safety', round(ndcg_at_5 - 0.5 * bad_top3_rate, 6) from k)
+    "checkpoint_best": f"""with {_FOLD}, u as (select fold epoch, 'ndcg_at_5' objective, round(ndcg_at_5, 6) score from k union all select fold, 'top5_regret', round(-top5_regret, 6) from k union all select fold, 'legacy_score', round(topk_recall - fp - mae, 6) from k
+        union all select fold, 'composite', round(0.35 * ndcg_at_5 + 0.25 * topk_recall + 0.2 * hv5 - 0.2 * top5_regret - 0.2 * bad_top3_rate - 0.1 * mae, 6) from k union all select fold, 'safety', round(0.35 * hcp + 0.25 * (1 - bad_top3_rate) + 0.2 * (1 - bad_top5_rate) + 0.2 * (1 - fp), 6) from k)
         select objective, epoch, score from u qualify row_number() over (partition by objective order by score desc, epoch) = 1""",
     "trend_summary": f"""with {_FOLD}, l as (select arg_max(ndcg_at_5, fold) v from k), r as (select arg_max(ndcg_at_5, fold) - arg_min(ndcg_at_5, fold) x from (select * from k order by fold desc limit 3))
         select fold best_epoch, round(ndcg_at_5, 6) best, round(l.v, 6) last, round(r.x, 6) recent_delta, abs(r.x) < 0.01 saturated from k, l, r order by ndcg_at_5 desc, fold limit 1""",

@@ -51,11 +51,18 @@ def recommend(states: DataFrame, policy: GapPolicy = GapPolicy(), max_actions: i
 
 def slates(states: DataFrame, policy: GapPolicy = GapPolicy(), max_actions: int = 5, seed: int = 0, key: str = "state_id") -> DataFrame:
     """Alternative action lists of a state, a row an action: anchor, conservative, sampled (a fixed draw of seed, state
-    and tool), over-recommending."""
+    and tool), over-recommending, and a hard negative: the anchor with its last action replaced by the weakest one (that
+    alone, where the anchor is empty; where nothing is weak, the last action alone)."""
     rows = gaps(states, policy)
     g, t = F.col("gain"), F.col("threshold")
     u = F.pmod(F.xxhash64(key, "tool_id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     kinds = {"anchor": g > t, "conservative": g > F.least(F.lit(0.98), t + 0.10), "sampled": u < F.col("action_probability"), "over_recommend": g > F.greatest(F.lit(0.0), t - 0.18)}
+    up, down = Window.partitionBy(key).orderBy("gain", F.desc("tool_id")), Window.partitionBy(key).orderBy(F.desc("gain"), "tool_id")
+    rows = rows.withColumns({"from_top": F.row_number().over(down), "from_end": F.row_number().over(up), "strong": F.count_if(g > t).over(Window.partitionBy(key)), "all": F.count("*").over(Window.partitionBy(key))})
+    # thresholds differ by state of the tool, so strong and weak actions may alternate
+    rows = rows.withColumns({"nth": F.count_if(g > t).over(down.rowsBetween(Window.unboundedPreceding, 0)), "weak": F.count_if(g <= t).over(up.rowsBetween(Window.unboundedPreceding, 0))})
+    weakest = (g <= t) & (F.col("weak") == 1)
+    kinds["hard_negative"] = F.when(F.col("strong") == F.col("all"), F.col("from_end") == 1).otherwise(weakest | ((g > t) & (F.col("nth") < F.col("strong"))))
     rows = rows.withColumn("slate", F.explode(F.filter(F.array(*(F.when(v, F.lit(k)) for k, v in kinds.items())), lambda x: x.isNotNull())))
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(key, "slate").orderBy(F.desc("gain"), "tool_id")))
     return rows.where(F.col("place") <= max_actions).select(key, "slate", "place", "tool_id", "enabled", "gain", "action_probability")
@@ -68,6 +75,30 @@ def dry_run_slate_score(n: Column, strong: Column) -> Column:
     return F.when(n == 0, F.lit(0.2)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
 
+def group_loss(states: DataFrame, chosen: DataFrame, judged: DataFrame, rated: DataFrame, policy: GapPolicy = GapPolicy(), action_weight: float = 0.35, entropy_weight: float = 0.0) -> DataFrame:
+    """The value of the policy's loss for each state: ``state_id, slate_loss, action_loss, loss, mean_reward``.
+
+    ``states(state_id, tool_id, score, enabled)``, the actions of each slate in ``chosen(state_id, slate, tool_id)``, ``judged(state_id, slate,
+    slate_score)`` and ``rated(state_id, slate, tool_id, rating)``. Rewards are normalised in their state, ratings in their slate; a
+    slate's log-probability is that of all tools of its state, taken or not.
+    """
+    rows = gaps(states, policy).select("state_id", "tool_id", "action_probability")
+    mine = judged.select("state_id", "slate").join(rows, "state_id").join(chosen.select("state_id", "slate", "tool_id", F.lit(True).alias("taken")), ["state_id", "slate", "tool_id"], "left")
+    mine = mine.withColumn("lp", log_probability(F.col("taken").isNotNull(), F.col("action_probability")))
+
+    def advantage(df: DataFrame, by: list[str], value: str) -> DataFrame:
+        of = df.groupBy(*by).agg(F.avg(value).alias("m_"), F.stddev_pop(value).alias("s_"))
+        return df.join(of, by).withColumn("adv", F.when(F.col("s_") > 1e-6, F.try_divide(F.col(value) - F.col("m_"), F.col("s_"))).otherwise(0.0)).drop("m_", "s_")
+
+    per = mine.groupBy("state_id", "slate").agg(F.sum("lp").alias("lp")).join(advantage(judged, ["state_id"], "slate_score"), ["state_id", "slate"])
+    out = per.groupBy("state_id").agg((-F.avg(F.col("adv") * F.col("lp"))).alias("slate_loss"), F.avg("slate_score").alias("mean_reward"))
+    acted = advantage(rated, ["state_id", "slate"], "rating").join(mine, ["state_id", "slate", "tool_id"]).groupBy("state_id").agg((-F.avg(F.col("adv") * F.col("lp"))).alias("action_loss"))
+    p = F.col("action_probability")
+    entropy = rows.groupBy("state_id").agg((-F.avg(p * F.ln(F.greatest(p, F.lit(1e-8))) + (1 - p) * F.ln(F.greatest(1 - p, F.lit(1e-8))))).alias("entropy"))
+    out = out.join(acted, "state_id", "left").join(entropy, "state_id").withColumn("action_loss", F.coalesce("action_loss", F.lit(0.0)))
+    return out.select("state_id", "slate_loss", "action_loss", (F.col("slate_loss") + action_weight * F.col("action_loss") - entropy_weight * F.col("entropy")).alias("loss"), "mean_reward")
+
+
 def feedback_advantages(ratings: DataFrame, key: str = "state_id") -> DataFrame:
     """Ratings centred in their state and divided by its population deviation if that is over 1e-6; the sign
     turned for actions that disable."""

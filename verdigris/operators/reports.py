@@ -35,6 +35,18 @@ def best_epochs(epochs: DataFrame, objectives: dict[str, Column]) -> DataFrame:
     return long.withColumn("r", F.row_number().over(order)).where("r = 1").select("objective", "epoch", "score")
 
 
+def checkpoint_scores() -> dict[str, Column]:
+    """What checkpoints are chosen by, from the columns of the grouped metrics; higher is better."""
+    c = F.col
+    return {
+        "legacy_score": c("topk_recall") - c("no_tool_fp_rate") - c("mae"),
+        "composite": 0.35 * c("ndcg_at_5") + 0.25 * c("topk_recall") + 0.20 * c("high_value_recall_at_5") - 0.20 * c("top5_regret") - 0.20 * c("bad_top3_rate") - 0.10 * c("mae"),
+        "ndcg_at_5": c("ndcg_at_5"),
+        "top5_regret": -c("top5_regret"),
+        "safety": 0.35 * c("high_conf_precision") + 0.25 * (1.0 - c("bad_top3_rate")) + 0.20 * (1.0 - c("bad_top5_rate")) + 0.20 * (1.0 - c("no_tool_fp_rate")),
+    }
+
+
 def trend(epochs: DataFrame, metric: str, patience: int = 3, lower_is_better: bool = False, flat: float = 0.01) -> DataFrame:
     """Best epoch (the first of equal ones), last value, change over the last ``patience`` epochs and
     whether that change is too small to go on."""

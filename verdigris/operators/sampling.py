@@ -19,6 +19,14 @@ def split_groups(df: DataFrame, key: str = "conversation_id", validation: float
     return df.withColumn("split", F.when(uniform(key, seed=seed) < validation, "valid").otherwise("train"))
 
 
+def split_for_cv(df: DataFrame, cv: float, holdout: float, key: str = "conversation_id", seed: int = 0) -> DataFrame:
+    """``part`` holdout, cv or base of each key, by a fixed draw."""
+    if cv <= 0 or holdout <= 0 or cv + holdout >= 1:
+        raise ValueError("cv and holdout must be positive and sum to less than 1")
+    u = uniform(key, seed=seed)
+    return df.withColumn("part", F.when(u < holdout, "holdout").when(u < holdout + cv, "cv").otherwise("base"))
+
+
 def assign_folds(df: DataFrame, k: int, key: str = "conversation_id", seed: int = 0) -> DataFrame:
     """``fold`` 0 to k-1 of each key, by a fixed draw."""
     if k < 2:
