@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.operators.calibrate import AXES
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -25,10 +27,9 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def axis_judgments(spark: SparkSession, d: str) -> DataFrame:
-    """Seven axis scores of a sample (an order) and tool (a supplier), from the order lines."""
-    li = table(spark, d, "lineitem")
-    scores = "stack(7, 'capability_match', l_quantity, 'action_demand', l_discount * 1000, 'target_specificity', l_tax * 1250, 'consent_boundary', cast(l_linenumber * 14 as double), 'intervention_cost', cast(l_partkey % 101 as double), 'companionship_fit', cast(l_suppkey % 101 as double), 'final_preference', l_quantity * 2) as (axis, raw_score)"
-    return li.selectExpr("l_orderkey as sample_id", "concat('plugin.s', l_suppkey) as tool_id", scores)
+    """Seven axis scores of a sample (an order) and tool (a supplier), a column an axis, from the order lines."""
+    scores = ("l_quantity", "l_discount * 1000", "l_tax * 1250", "cast(l_linenumber * 14 as double)", "cast(l_partkey % 101 as double)", "cast(l_suppkey % 101 as double)", "l_quantity * 2")
+    return table(spark, d, "lineitem").selectExpr("l_orderkey as sample_id", "concat('plugin.s', l_suppkey) as tool_id", *(f"{x} as {a}" for x, a in zip(scores, AXES)))
 
 
 def tools(spark: SparkSession, d: str) -> DataFrame:

@@ -42,7 +42,8 @@ def calibrate_multiaxis(spark: SparkSession, d: str) -> DataFrame:
 
 
 def final_projection(spark: SparkSession, d: str) -> DataFrame:
-    return c.final_judgments(axis_judgments(spark, d))
+    rows = axis_judgments(spark, d).unpivot(["sample_id", "tool_id"], list(c.AXES), "axis", "raw_score")
+    return c.final_judgments(rows)
 
 
 QUERIES = {f.__name__: f for f in (aggregate_judgments, local_z, calibrate_single, rank_gaussian, calibrate_axis, hybrid_final_preference, calibrate_multiaxis, final_projection)}

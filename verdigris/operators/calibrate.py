@@ -53,9 +53,20 @@ def calibrate(judgments: DataFrame, clip_at: float = 0.001, digits: int | None =
     return rank_gaussian(local_z(scored, digits=digits), "local_z", clip_at=clip_at)
 
 
+def aggregate_axes(judgments: DataFrame) -> DataFrame:
+    """A3: medians and ranges for each axis. ``judgments`` has ``sample_id, tool_id`` and either ``axis, raw_score`` or, wide, a column an axis:
+    then a run is one row, grouped once for all its axes, and only the results are unpivoted."""
+    if "axis" in judgments.columns:
+        return aggregate_judgments(judgments, ("sample_id", "tool_id", "axis"))
+    aggs = [x for a in AXES for x in (F.median(a).alias(f"{a}_m"), (F.max(a) - F.min(a)).alias(f"{a}_d"))]
+    wide = judgments.groupBy("sample_id", "tool_id").agg(*aggs)
+    rows = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"{a}_m").alias("raw_score"), F.col(f"{a}_d").alias("judge_disagreement")) for a in AXES))
+    return wide.select("sample_id", "tool_id", F.explode(rows).alias("x")).select("sample_id", "tool_id", "x.*")
+
+
 def calibrate_axes(judgments: DataFrame, clip_at: float = 0.001) -> DataFrame:
-    """As :func:`calibrate` for ``judgments(sample_id, tool_id, axis, raw_score)``, ranked within each axis."""
-    scored = materialise(aggregate_judgments(judgments, ("sample_id", "tool_id", "axis")), "scores")
+    """As :func:`calibrate` for judgments by axis (see :func:`aggregate_axes`), ranked within each axis."""
+    scored = materialise(aggregate_axes(judgments), "scores")
     scored = materialise(local_z(scored, ("sample_id", "axis")), "scores")
     return rank_gaussian(scored, "local_z", ("axis",), clip_at)
 
