@@ -40,10 +40,10 @@ def split_overlap(texts: DataFrame, splits: DataFrame, id_col: str, text: str, s
     flags = members.groupBy("txt").agg(F.max("ev").alias("ev"), F.max("tr").alias("tr"))
     pool = rows.select("txt", "text").distinct().join(flags, "txt")
     pool = materialise(pool.withColumn("rid", F.monotonically_increasing_id()), "texts")
-    sets = shingle_set(F.col("text"), width)
-    index = pool.where("tr").select("rid", F.explode(sets).alias("s")).repartition("s")
+    sets, keys = shingle_set(F.col("text"), width), shingle_set(F.col("text"), width, 48)  # buckets need fewer bits than proof
+    index = pool.where("tr").select("rid", F.explode(keys).alias("s")).repartition("s")
     spread = index.groupBy("s").agg(F.count("rid").alias("df"))
-    asked = pool.where("ev").select(F.col("rid").alias("e"), sets.alias("x")).select("e", F.size("x").alias("n"), F.explode("x").alias("s"))
+    asked = pool.where("ev").select(F.col("rid").alias("e"), keys.alias("x")).select("e", F.size("x").alias("n"), F.explode("x").alias("s"))
     # shingles without a training text come first in the order; they are counted and need not travel
     own = Window.partitionBy("e")
     free = F.col("n") - F.ceil(F.col("n") * num / den)
