@@ -24,7 +24,11 @@ def shingle_set(text: Column, width: int = 3, bits: int = 64) -> Column:
     """The distinct runs of ``width`` successive words, hashed to ``bits`` bits; empty for shorter texts, null for a null text."""
 
     def runs(w: Column) -> Column:  # w is a bound variable: the words are split once, not once an element
-        hashed = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda k: F.shiftrightunsigned(F.xxhash64(*(F.get(w, k + (j - 1)) for j in range(width))), 64 - bits) if bits < 64 else F.xxhash64(*(F.get(w, k + (j - 1)) for j in range(width))))
+        def one(k: Column) -> Column:
+            h = F.xxhash64(*(F.get(w, k + (j - 1)) for j in range(width)))
+            return F.shiftrightunsigned(h, 64 - bits) if bits < 64 else h
+
+        hashed = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), one)
         return F.when(F.size(w) >= width, F.array_distinct(hashed)).when(w.isNotNull(), F.array().cast("array<bigint>"))
 
     return F.get(F.transform(F.array(word_sequence(text)), runs), 0)
