@@ -57,6 +57,14 @@ def test_finds_passages(spark):
     assert all(0 <= s.start < s.end <= len(text) for s in got[k].spans) and got[k].spans
 
 
+def test_sample_is_bounded(spark):
+    docs = documents(2, 300)
+    df = spark.createDataFrame([(k, t) for k, t, _ in docs], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, "abusive" if bad else "none") for k, _, bad in docs], "doc_id long, label string")
+    got = toxic_documents(df, labels, max_flagged=20, max_clean=50, max_chars=500, max_total=4000).collect()
+    assert len(got) == 300 and {r.score for r in toxic_documents(df, labels, max_total=1).collect()} == {0.0}
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "Shut up.")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, label string")

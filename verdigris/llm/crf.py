@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.plans.scratch import materialise
+
 BITS = 20
 LONGEST = 256  # tokens in a chain; longer lines are several chains
 ENDS = frozenset(".!?。")
@@ -256,13 +258,13 @@ def score_texts(crf: Crf, texts: list[str], ids: _Ids, spans_from: float) -> tup
     return out, spans
 
 
-def toxic_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.4, max_flagged: int = 3000, max_clean: int = 5000, max_chars: int = 20_000, seed: int = 1) -> DataFrame:
+def toxic_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.4, max_flagged: int = 3000, max_clean: int = 5000, max_chars: int = 20_000, max_total: int = 6_000_000, seed: int = 1) -> DataFrame:
     """``id, *keep, score, spans`` of every row of ``documents``; score is 0 for null and empty texts.
 
     ``labels(doc_id, label)`` holds a class or ``none``; null labels do not count, and a document labelled more than
     once is flagged if half of its labels or more are not ``none``. The field is fitted on the driver on a bounded sample
-    of labelled documents: by hash of the id, at most ``max_flagged`` flagged and ``max_clean`` other ones of at most
-    ``max_chars`` characters; feature counts are those of all documents. All documents are then scored, whole texts, in their partitions. Without a
+    of labelled documents: by hash of the id, at most ``max_flagged`` flagged and ``max_clean`` other ones, of at most
+    ``max_chars`` characters each and ``max_total`` of either kind; feature counts are those of all documents. All documents are then scored, whole texts, in their partitions. Without a
     flagged document there is nothing to learn from and every score is 0. ``spans`` are start and end of offending
     passages in characters, for scores of at least ``threshold``. Repeated rows are scored each; an empty table gives
     no row.
@@ -270,8 +272,14 @@ def toxic_documents(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
     spark = documents.sparkSession
     votes = labels.where("label is not null").groupBy(F.col("doc_id").alias("id")).agg((F.avg((F.lower(F.trim("label")) != "none").cast("int")) >= 0.5).alias("flagged"))
     known = documents.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(f"id is not null and text is not null and length(text) <= {max_chars}")
-    known = known.join(votes, "id").withColumn("h", F.xxhash64("id", F.lit(seed)))
-    sample = [r for flagged, most in ((True, max_flagged), (False, max_clean)) for r in known.where(F.col("flagged") == flagged).orderBy("h", "text").limit(most).collect()]
+    known = materialise(known.join(votes, "id").withColumn("h", F.xxhash64("id", F.lit(seed))), "labelled")
+    sample = []
+    for flagged, most in ((True, max_flagged), (False, max_clean)):
+        own = known.where(F.col("flagged") == flagged)
+        sizes = own.select("h", F.length("text").alias("n")).orderBy("h", "n").limit(most).collect()
+        room = np.flatnonzero(np.cumsum([r.n for r in sizes] or [0]) <= max_total)
+        if sizes and len(room):
+            sample += own.where(F.col("h") <= sizes[room[-1]].h).orderBy("h", "text").limit(len(room)).collect()
     toxic = np.array([r.flagged for r in sample], bool)
     crf = None
     if toxic.any() and not toxic.all():
