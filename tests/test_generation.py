@@ -32,6 +32,24 @@ def test_tasks(spark):
         generation.conversation_tasks(spark, tools, 0)
 
 
+def test_candidates(spark):
+    tools = spark.createDataFrame([(f"plugin.tool_{k:03}", "plugin") for k in range(20)] + [("agent.a", "agent"), ("agent.b", "agent")], "tool_id string, kind string")
+    conv = spark.createDataFrame([(f"c{k}", ["plugin.tool_019", "gone"] if k % 2 else None) for k in range(200)], "conversation_id string, target_tool_ids array<string>")
+    got = {}
+    for r in sampling.sample_candidates(conv, tools, 0.1, seed=123).collect():
+        got.setdefault(r.conversation_id, {})[r.pos] = r.tool_id
+    assert len(got) == 200
+    for c, x in got.items():
+        assert sorted(x) == [0, 1, 2, 3] and {"agent.a", "agent.b"} <= set(x.values()) and len(set(x.values())) == 4
+        assert int(c[1:]) % 2 == 0 or "plugin.tool_019" in x.values()
+    free = [t for c, x in got.items() if int(c[1:]) % 2 == 0 for t in x.values() if t.startswith("plugin.")]
+    assert len(set(free)) == 20
+    numbered = sampling.number_samples(conv.select("conversation_id")).collect()
+    assert [r.sample_id for r in sorted(numbered, key=lambda r: r.conversation_id)] == [f"sample_{k:06}" for k in range(1, 201)]
+    with pytest.raises(ValueError):
+        sampling.sample_candidates(conv, tools, 1.5)
+
+
 def test_specs(spark):
     s = "pos int, id string, name string, type string, description string, short_description string, keywords array<string>, passive boolean"
     rows = [(1, " plugin.alpha_x ", " A ", None, "d", "s", [" k ", "", "k", None], None), (2, "alpha_x", "B", None, "d", "s", ["k"], None), (3, "9bad", "C", None, "", "s", [], None), (4, "taken_id", "D", "plugin", "d", "s", ["k"], True)]

@@ -14,7 +14,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """Each vector beside the first one of its label."""
     v = table(spark, d, "embeddings")
     first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor"))
-    return v.join(F.broadcast(first), "label")
+    return v.join(first, "label")
 
 
 def vector_cosine(spark: SparkSession, d: str) -> DataFrame:

@@ -42,7 +42,7 @@ def rank_gaussian(rows: DataFrame, value: str, by: Sequence[str] = (), clip_at:
     _check_clip(clip_at)
     ranked = average_rank(rows, value, by, "rank_")
     size = rows.groupBy(*by).agg(F.count(value).alias("n_"))
-    ranked = ranked.join(F.broadcast(size), list(by)) if by else ranked.crossJoin(F.broadcast(size))
+    ranked = ranked.join(size, list(by)) if by else ranked.crossJoin(F.broadcast(size))
     p = clip((F.col("rank_") - 0.5) / F.col("n_"), clip_at, 1 - clip_at)
     return ranked.withColumn(name, inverse_normal(p)).drop("rank_", "n_")
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.plans.scratch import materialise
+
 BINS = 2048
 
 
@@ -43,6 +45,17 @@ def ordinal(df: DataFrame, major: str, minor: Sequence[str], name: str = "ord")
     return df.join(before, major).withColumn(name, F.col("before") + F.row_number().over(inside) - 1).drop("before")
 
 
+def positions(df: DataFrame, order: Sequence[str], name: str = "ord") -> DataFrame:
+    """``df`` with each row's 0-based position in the order of any columns, over all partitions: rows are range-partitioned
+    and written once; positions are those within a partition plus the sizes of the partitions before it."""
+    rows = df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
+    rows = materialise(rows, "ranges")
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sizes = rows.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    inside = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    return rows.join(F.broadcast(sizes), "part_").withColumn(name, F.col("base_") + inside - 1).drop("part_", "base_")
+
+
 def spearman(df: DataFrame, left: str, right: str, by: Sequence[str] = ()) -> DataFrame:
     """The rank correlation of two columns within ``by``; 0 where a column is constant."""
     # renamed first, so that no column of the table can clash with a rank

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.ranks import positions
+
 
 def uniform(*cols: Column | str, seed: int) -> Column:
     """A fixed number in (0, 1) of the columns and the seed."""
@@ -34,28 +36,42 @@ def assign_folds(df: DataFrame, k: int, key: str = "conversation_id", seed: int
     return df.withColumn("fold", F.floor(uniform(key, seed=seed) * k).cast("int"))
 
 
+MAX_AGENTS = 1000
+ORDERS = 64  # shuffled orders of the catalogue that samples are cut from
+
+
 def sample_candidates(conversations: DataFrame, tools: DataFrame, rate: float = 0.1, force: float = 1.0, seed: int = 0) -> DataFrame:
     """A candidate set for every conversation: all agents, its target plugins (each with probability ``force``) and
     others drawn without replacement, ``ceil(rate * plugins)`` plugins in all: ``conversation_id, pos, tool_id``.
 
-    ``conversations`` has ``conversation_id, target_tool_ids``. Draws are fixed by seed, conversation and tool and do not depend
-    on each other, so conversations are sampled in parallel. Catalogues are small beside conversations: keys
-    are compared within a conversation, of which only the first few travel on.
+    ``conversations`` has ``conversation_id, target_tool_ids``. A conversation takes successive plugins, from a place of its own, of one
+    of several shuffled orders of the catalogue: distinct, found by an equi-join, and without comparing all plugins with
+    all conversations. Draws are fixed by seed and conversation and do not depend on each other.
     """
     if not 0 <= rate <= 1:
         raise ValueError("rate must be in [0, 1]")
-    plugins, agents = tools.where("kind = 'plugin'").select("tool_id"), tools.where("kind = 'agent'").select("tool_id")
-    k = math.ceil(plugins.count() * rate)
+    plugins, agents = tools.where("kind = 'plugin'").select("tool_id").distinct(), tools.where("kind = 'agent'").select("tool_id").distinct()
+    size = plugins.count()
+    k = math.ceil(size * rate)
     conv = conversations.select("conversation_id", F.coalesce("target_tool_ids", F.array().cast("array<string>")).alias("t"))
-    drawn = conv.crossJoin(plugins)
-    forced = F.array_contains("t", F.col("tool_id")) & (uniform("conversation_id", "tool_id", seed=seed + 1) < force)
-    order = Window.partitionBy("conversation_id").orderBy(F.desc(forced), uniform("conversation_id", "tool_id", seed=seed))
-    drawn = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("conversation_id", "tool_id")
-    both = drawn.unionByName(conv.select("conversation_id").crossJoin(agents))
+    mixed = plugins.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
+    mixed = mixed.withColumn("number", F.row_number().over(Window.partitionBy("way").orderBy(uniform("tool_id", "way", seed=seed), "tool_id")) - 1)
+    way, start = F.floor(uniform("conversation_id", seed=seed + 3) * ORDERS).cast("int"), F.floor(uniform("conversation_id", seed=seed + 4) * size).cast("int")
+    # as many more as there are targets, since those may be among the drawn
+    places = conv.where(F.lit(k > 0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), k + F.size("t")) - 1)))
+    drawn = places.select("conversation_id", way.alias("way"), "j", F.pmod(start + F.col("j"), F.lit(max(1, size))).alias("number")).join(mixed, ["way", "number"]).select("conversation_id", "tool_id", "j")
+    forced = conv.select("conversation_id", F.explode(F.array_distinct("t")).alias("tool_id")).join(plugins, "tool_id", "left_semi")
+    forced = forced.where(uniform("conversation_id", "tool_id", seed=seed + 1) < force).select("conversation_id", "tool_id", F.lit(-1).alias("j"))
+    kept = drawn.unionByName(forced).groupBy("conversation_id", "tool_id").agg(F.min("j").alias("j"))
+    kept = kept.withColumn("r", F.row_number().over(Window.partitionBy("conversation_id").orderBy("j", "tool_id"))).where(F.col("r") <= k)
+    ids = [r.tool_id for r in agents.orderBy("tool_id").limit(MAX_AGENTS + 1).collect()]
+    if len(ids) > MAX_AGENTS:
+        raise ValueError(f"more than {MAX_AGENTS} agents, which all stand in every candidate set")
+    always = conv.select("conversation_id", F.explode(F.array(*map(F.lit, ids)).cast("array<string>")).alias("tool_id"))
+    both = kept.select("conversation_id", "tool_id").unionByName(always)
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("conversation_id").orderBy(uniform("conversation_id", "tool_id", seed=seed + 2))) - 1)
 
 
 def number_samples(df: DataFrame, order: str = "conversation_id", prefix: str = "sample_") -> DataFrame:
-    """``sample_id`` by position; the position is global, so rows are sorted once over all partitions."""
-    ranked = df.withColumn("n_", F.row_number().over(Window.orderBy(order)))
-    return ranked.withColumn("sample_id", F.format_string(f"{prefix}%06d", "n_")).drop("n_")
+    """``sample_id`` by position in the order of a column."""
+    return positions(df, [order], "n_").withColumn("sample_id", F.format_string(f"{prefix}%06d", F.col("n_") + 1)).drop("n_")

@@ -113,7 +113,7 @@ def quality_summary(candidates: DataFrame, judgments: DataFrame, tools: DataFram
     """
     agents = tools.where("kind = 'agent'").select("tool_id").distinct()
     c, n = candidates.select("sample_id", "tool_id").distinct(), agents.count()
-    held = c.join(F.broadcast(agents), "tool_id", "left_semi").groupBy("sample_id").agg(F.count("*").alias("k"))
+    held = c.join(agents, "tool_id", "left_semi").groupBy("sample_id").agg(F.count("*").alias("k"))
     samples = c.select("sample_id").distinct()
     lacking = samples.join(held, "sample_id", "left").where(F.coalesce("k", F.lit(0)) < n)
     exposed = c.join(tools.where("kind = 'plugin'").select("tool_id").distinct(), "tool_id", "left_semi")
