@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.operators.ranks import spearman
+from verdigris.plans.scratch import materialise
 
 NO_TOOL, ASK_CONFIRM = "__NO_TOOL__", "__ASK_CONFIRM__"  # fixed values
 
@@ -63,6 +64,8 @@ def group_facts(df: DataFrame, by: Sequence[str] = (), high_label: float = 0.8,
 def compute_metrics(df: DataFrame, by: Sequence[str] = (), high_label: float = 0.8, high_pred: float = 0.8, topk: int = 3) -> DataFrame:
     """The 43 metrics, one row for each ``by``. Rates divide by at least 1; ``active_bad_*`` count groups that hold a
     no-tool candidate in their denominator only, as published, so without such candidates they are counts."""
+    # read six times below: the pairs are worked out once
+    df = materialise(df.select(*by, "conversation_id", "tool_id", "label", "prediction"), "pairs")
     g = group_facts(df, by, high_label, high_pred, topk)
     c = F.col
     gold_nt, pred_nt = c("best_tool") == NO_TOOL, c("pred_tool") == NO_TOOL
