@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from verdigris.llm import queries
 from verdigris.llm.mixing import mix_sources, shard_quotas
 from verdigris.llm.packing import pack, pack_report, sum_of_squares
 from verdigris.llm.tokens import token_count
@@ -88,3 +89,15 @@ def test_mix_tiny(spark, n):
     df = spark.createDataFrame([(k, "a", 3) for k in range(n)], "id int, source string, tokens int")
     weights = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     assert mix_sources(df, "id", "source", "tokens", weights)[0].count() == n
+
+
+def test_mix_all_is_not_set_by_the_scarcest(spark, tmp_path):
+    rows = [(k, "big", "word " * 40) for k in range(300)] + [(1000, "Small", "one two")] + [(2000 + k, "mid", "word " * 40) for k in range(100)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.5, 1), ("small", 0.2, 3), ("mid", 0.3, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/source_weights.parquet")
+    r = {x.source: x for x in queries.p7_report(spark, str(tmp_path)).collect()}
+    total = sum(x.available for x in r.values())
+    assert r["small"].used == 3 * r["small"].available and not r["small"].reached and r["small"].unused == 0
+    assert r["big"].reached and abs(r["big"].used / total - 0.5) < 0.01 and abs(r["big"].unused - 1 / 3) < 0.01
+    assert not r["mid"].reached and r["mid"].used == r["mid"].available
+    assert queries.p7_mix(spark, str(tmp_path)).groupBy().sum("size").first()[0] == sum(x.used for x in r.values())

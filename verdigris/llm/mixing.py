@@ -35,13 +35,14 @@ def shard_quotas(shard: int, shards: int, blocks: np.ndarray, seed: int) -> tupl
     return own, first
 
 
-def mix_sources(df: DataFrame, id_col: str, source: str, size_col: str, weights: DataFrame, total: int | None = None, block: int = 16_384, shard_size: int = 4_000_000, rows_a_bin: int = 20_000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def mix_sources(df: DataFrame, id_col: str, source: str, size_col: str, weights: DataFrame, total: int | str | None = None, block: int = 16_384, shard_size: int = 4_000_000, rows_a_bin: int = 20_000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Combine the records of all sources with the shares of ``weights``; returns (mixture, report).
 
     ``weights`` has ``source, target_share, max_repeats``; source names are trimmed and lower-cased on both
-    sides. ``total`` is the size wanted; by default the largest at which every source that has records can
-    give its share within its repeats. Where a given total asks more of a source than its repeats allow, it gives
-    what it may and the report shows the share reached. Shares are taken among the sources that have records.
+    sides. ``total`` is the size wanted, or "all" for that of all usable records of the weighted sources; by default
+    the largest at which every source that has records can give its share within its repeats: there the scarcest source
+    sets the size for all. Where a total asks more of a source than its repeats allow, it gives what it may, the
+    others' quotas stay, and the report shows the share reached. Shares are taken among the sources that have records.
     Records with a null id or source, a source without a weight or a size that is null or not positive are not
     used; repeated rows are records of their own; empty tables give an empty mixture.
 
@@ -52,7 +53,8 @@ def mix_sources(df: DataFrame, id_col: str, source: str, size_col: str, weights:
     are dealt to output shards of about ``shard_size`` by :func:`shard_quotas`, and shuffled within the shard.
 
     mixture: ``shard, position, source, item_id, repeat, size``. report: per source ``target_share, available,
-    max_repeats, quota, used, actual_share, repeats, reached``.
+    max_repeats, quota, used, actual_share, repeats, reached, unused``: ``unused`` is the share of what a source has
+    that is in no record of the mixture.
     """
     spark = df.sparkSession
     name = lambda c: F.lower(F.trim(F.col(c).cast("string")))
@@ -66,6 +68,10 @@ def mix_sources(df: DataFrame, id_col: str, source: str, size_col: str, weights:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     use = [r for r in got if r.held and r.share > 0 and r.most > 0]
     whole = sum(r.share for r in use)
+    if isinstance(total, str):
+        if total != "all":
+            raise ValueError('total must be a number or "all"')
+        total = sum(r.held for r in use)
     size = total if total is not None else min((math.floor(r.most * r.held * whole / r.share) for r in use), default=0)
     quota = {r.source: min(math.floor(size * r.share / whole + 0.5), r.most * r.held) for r in use}
     use = [r for r in use if quota[r.source] > 0]
@@ -101,8 +107,9 @@ def mix_sources(df: DataFrame, id_col: str, source: str, size_col: str, weights:
     order = Window.partitionBy("shard").orderBy(F.xxhash64("key", F.lit(seed + 1)), "sid", "rid", "repeat")
     mixture = placed.join(dealt, ["sid", "slot"]).withColumn("position", F.row_number().over(order) - 1)
     mixture = materialise(mixture.select("shard", "position", "source", "item_id", F.col("repeat").cast("int").alias("repeat"), "size"), "mixture")
-    used = {r.source: r.used for r in mixture.groupBy("source").agg(F.sum("size").alias("used")).collect()}
+    sums = mixture.groupBy("source").agg(F.sum("size").alias("used"), F.sum(F.when(F.col("repeat") == 0, F.col("size"))).alias("once")).collect()
+    used, once = {r.source: r.used for r in sums}, {r.source: r.once for r in sums}
     made = sum(used.values())
-    out = [(r.source, r.share, r.held or 0, r.most, quota.get(r.source, 0), used.get(r.source, 0), used.get(r.source, 0) / made if made else 0.0, used.get(r.source, 0) / r.held if r.held else 0.0, bool(r.held) and quota.get(r.source, 0) >= math.floor(size * r.share / (whole or 1))) for r in got]
-    report = spark.createDataFrame(out, "source string, target_share double, available long, max_repeats long, quota long, used long, actual_share double, repeats double, reached boolean")
+    out = [(r.source, r.share, r.held or 0, r.most, quota.get(r.source, 0), used.get(r.source, 0), used.get(r.source, 0) / made if made else 0.0, used.get(r.source, 0) / r.held if r.held else 0.0, bool(r.held) and quota.get(r.source, 0) >= math.floor(size * r.share / (whole or 1)), 1 - once.get(r.source, 0) / r.held if r.held else 0.0) for r in got]
+    report = spark.createDataFrame(out, "source string, target_share double, available long, max_repeats long, quota long, used long, actual_share double, repeats double, reached boolean, unused double")
     return mixture, report

@@ -122,12 +122,17 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return pack_report(p6_pack(spark, d))
 
 
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each source's share of all tokens: one that is too scarce for its share falls short alone."""
+    return mix_sources(_sizes(spark, d), "doc_id", "source", "tokens", _t(spark, d, "source_weights"), total="all")
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(_sizes(spark, d), "doc_id", "source", "tokens", _t(spark, d, "source_weights"))[0]
+    return _mix(spark, d)[0]
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(_sizes(spark, d), "doc_id", "source", "tokens", _t(spark, d, "source_weights"))[1]
+    return _mix(spark, d)[1]
 
 
 TOXIC = 0.4
