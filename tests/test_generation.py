@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from verdigris.catalog.bindings import tasks, tools
 from verdigris.operators import actions, generation, pairs, sampling
 from verdigris.sources.plugins import read_plugins
 
@@ -50,6 +52,14 @@ def test_candidates(spark):
         sampling.sample_candidates(conv, tools, 1.5)
 
 
+def test_candidates_hold_all_targets(spark, data):
+    got = entry.queries()["sample_candidates"](spark, data).cache()
+    plugins = tools(spark, data).where("kind = 'plugin'").select("tool_id").union(spark.read.parquet(f"{data}/runtime_pool.parquet").where("kind = 'plugin'").select("tool_id"))
+    wanted = tasks(spark, data).select("conversation_id", F.explode("target_tool_ids").alias("tool_id")).distinct().join(plugins, "tool_id", "left_semi")
+    assert wanted.count() > 50 and wanted.join(got, ["conversation_id", "tool_id"], "left_anti").count() == 0
+    assert got.groupBy("conversation_id").agg(F.countDistinct("tool_id").alias("n"), F.max("pos").alias("m")).where("n <> m + 1").count() == 0
+
+
 def test_specs(spark):
     s = "pos int, id string, name string, type string, description string, short_description string, keywords array<string>, passive boolean"
     rows = [(1, " plugin.alpha_x ", " A ", None, "d", "s", [" k ", "", "k", None], None), (2, "alpha_x", "B", None, "d", "s", ["k"], None), (3, "9bad", "C", None, "", "s", [], None), (4, "taken_id", "D", "plugin", "d", "s", ["k"], True)]

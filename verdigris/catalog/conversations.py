@@ -86,8 +86,9 @@ def render_tool_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """R1 over the runtime pool: small beside the conversations."""
-    return sampling.sample_candidates(tasks(spark, d), table(spark, d, "runtime_pool"), 0.05)
+    """R1 over the whole catalogue, the tools and the runtime pool; at this rate a set has room for all targets."""
+    both = universe.union_universes([tools(spark, d).select("tool_id", "kind"), table(spark, d, "runtime_pool").select("tool_id", "kind")])
+    return sampling.sample_candidates(tasks(spark, d), both, 0.01)
 
 
 def split_groups(spark: SparkSession, d: str) -> DataFrame:

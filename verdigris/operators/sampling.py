@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.operators.ranks import positions
@@ -36,40 +39,70 @@ def assign_folds(df: DataFrame, k: int, key: str = "conversation_id", seed: int
     return df.withColumn("fold", F.floor(uniform(key, seed=seed) * k).cast("int"))
 
 
-MAX_AGENTS = 1000
-ORDERS = 64  # shuffled orders of the catalogue that samples are cut from
+BATCH = 200_000  # rows that a task hands over at once
+
+
+def _draw(rng: np.random.Generator, weights: np.ndarray, taken: np.ndarray, count: int) -> np.ndarray:
+    """``count`` distinct places, or all there are, drawn one after the other by weight from those not ``taken``."""
+    count, free = min(count, len(weights) - int(taken.sum())), taken.copy()
+    total, out = np.cumsum(weights), []
+    for _ in range(8):  # draws that hit what is taken count for nothing, which leaves the law as it is
+        if not count or count * 4 > len(weights) or total[-1] <= 0:
+            break
+        hit = np.minimum(np.searchsorted(total, rng.random(count + 8) * total[-1], "right"), len(weights) - 1)
+        hit = hit[np.sort(np.unique(hit, return_index=True)[1])]
+        hit = hit[~free[hit] & (weights[hit] > 0)][:count]
+        free[hit] = True
+        out.append(hit)
+        count -= len(hit)
+    if count:  # the rest by keys over all that is left; those without a weight come last
+        left = np.flatnonzero(~free)
+        u = rng.random(len(left))
+        key = np.divide(-np.log1p(-u), weights[left], out=np.full(len(left), np.inf), where=weights[left] > 0)
+        out.append(left[np.lexsort((u, key))[:count]])
+    return np.concatenate([np.zeros(0, np.int64), *out]).astype(np.int64)
 
 
 def sample_candidates(conversations: DataFrame, tools: DataFrame, rate: float = 0.1, force: float = 1.0, seed: int = 0) -> DataFrame:
-    """A candidate set for every conversation: all agents, its target plugins (each with probability ``force``) and
-    others drawn without replacement, ``ceil(rate * plugins)`` plugins in all: ``conversation_id, pos, tool_id``.
+    """A candidate set for every conversation: all agents, its target plugins (each with probability ``force``, the first
+    ones if they are more than the set holds) and others drawn without replacement, ``ceil(rate * plugins)`` plugins in all:
+    ``conversation_id, pos, tool_id``.
 
-    ``conversations`` has ``conversation_id, target_tool_ids``. A conversation takes successive plugins, from a place of its own, of one
-    of several shuffled orders of the catalogue: distinct, found by an equi-join, and without comparing all plugins with
-    all conversations. Draws are fixed by seed and conversation and do not depend on each other.
+    ``conversations`` has ``conversation_id, target_tool_ids``. Every conversation has a generator of its own, of the seed and its id, so
+    draws do not depend on each other, and any set of plugins can be drawn. Only the conversations are shuffled; each task
+    holds the catalogue's ids and makes whole sets, so that no row of the result is moved.
     """
     if not 0 <= rate <= 1:
         raise ValueError("rate must be in [0, 1]")
-    plugins, agents = tools.where("kind = 'plugin'").select("tool_id").distinct(), tools.where("kind = 'agent'").select("tool_id").distinct()
-    size = plugins.count()
-    k = math.ceil(size * rate)
-    conv = conversations.select("conversation_id", F.coalesce("target_tool_ids", F.array().cast("array<string>")).alias("t"))
-    mixed = plugins.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
-    mixed = mixed.withColumn("number", F.row_number().over(Window.partitionBy("way").orderBy(uniform("tool_id", "way", seed=seed), "tool_id")) - 1)
-    way, start = F.floor(uniform("conversation_id", seed=seed + 3) * ORDERS).cast("int"), F.floor(uniform("conversation_id", seed=seed + 4) * size).cast("int")
-    # as many more as there are targets, since those may be among the drawn
-    places = conv.where(F.lit(k > 0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), k + F.size("t")) - 1)))
-    drawn = places.select("conversation_id", way.alias("way"), "j", F.pmod(start + F.col("j"), F.lit(max(1, size))).alias("number")).join(mixed, ["way", "number"]).select("conversation_id", "tool_id", "j")
-    forced = conv.select("conversation_id", F.explode(F.array_distinct("t")).alias("tool_id")).join(plugins, "tool_id", "left_semi")
-    forced = forced.where(uniform("conversation_id", "tool_id", seed=seed + 1) < force).select("conversation_id", "tool_id", F.lit(-1).alias("j"))
-    kept = drawn.unionByName(forced).groupBy("conversation_id", "tool_id").agg(F.min("j").alias("j"))
-    kept = kept.withColumn("r", F.row_number().over(Window.partitionBy("conversation_id").orderBy("j", "tool_id"))).where(F.col("r") <= k)
-    ids = [r.tool_id for r in agents.orderBy("tool_id").limit(MAX_AGENTS + 1).collect()]
-    if len(ids) > MAX_AGENTS:
-        raise ValueError(f"more than {MAX_AGENTS} agents, which all stand in every candidate set")
-    always = conv.select("conversation_id", F.explode(F.array(*map(F.lit, ids)).cast("array<string>")).alias("tool_id"))
-    both = kept.select("conversation_id", "tool_id").unionByName(always)
-    return both.withColumn("pos", F.row_number().over(Window.partitionBy("conversation_id").orderBy(uniform("conversation_id", "tool_id", seed=seed + 2))) - 1)
+    spark = conversations.sparkSession
+    rows = tools.where("kind in ('plugin', 'agent') and tool_id is not null").groupBy("tool_id").agg(F.min("kind").alias("kind")).orderBy("tool_id").collect()
+    agents, plugins = [r.tool_id for r in rows if r.kind == "agent"], [r.tool_id for r in rows if r.kind == "plugin"]
+    k = math.ceil(len(plugins) * rate)
+    conv = conversations.select("conversation_id", F.coalesce("target_tool_ids", F.array().cast("array<string>")).alias("t"), F.xxhash64("conversation_id").alias("h"))
+    shared = spark.sparkContext.broadcast((agents, plugins))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        agents, plugins = shared.value
+        names, number = pa.array(agents + plugins, pa.string()), {x: n for n, x in enumerate(plugins)}
+        always, weights = np.arange(len(agents)), np.ones(len(plugins))
+        step = max(1, BATCH // max(1, len(agents) + k))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch, made = whole.slice(at, step), []
+                for h, targets in zip(batch["h"].to_pylist(), batch["t"].to_pylist()):
+                    rng = np.random.default_rng([seed, h % (1 << 64)])
+                    forced = [number[x] for x in dict.fromkeys(targets) if x in number and rng.random() < force][:k]
+                    taken = np.zeros(len(plugins), bool)
+                    taken[forced] = True
+                    drawn = _draw(rng, weights, taken, k - len(forced)) if plugins else always[:0]
+                    made.append(rng.permutation(np.concatenate([always, len(agents) + np.array(forced, np.int64), len(agents) + drawn])))
+                sizes = [len(x) for x in made]
+                ids = batch["conversation_id"].take(pa.array(np.repeat(np.arange(len(made)), sizes)))
+                pos = pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids, pos, names.take(pa.array(np.concatenate(made)))], ["conversation_id", "pos", "tool_id"])
+
+    dealt = conv.repartition(4 * spark.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(sets, f"conversation_id {dict(conv.dtypes)['conversation_id']}, pos int, tool_id string")
 
 
 def number_samples(df: DataFrame, order: str = "conversation_id", prefix: str = "sample_") -> DataFrame:
