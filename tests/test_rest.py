@@ -1,4 +1,9 @@
 import json
+import math
+import re
+from collections import Counter
+from difflib import SequenceMatcher
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +56,30 @@ def test_similar_tools(spark):
     assert got[0].text_cosine == pytest.approx(1.0) and got[0].keyword_jaccard == 0.5 and got[0].name_similarity == pytest.approx(0.8)
 
 
+def test_similar_tools_of_the_whole_table(spark, data):
+    rows = {r.tool_id: r.metadata for r in spark.read.parquet(f"{data}/tools.parquet").select("tool_id", "metadata").collect()}
+
+    def sides(i, m):
+        words = [str(x) for x in m.keywords or [] if x is not None]
+        found = re.findall("[a-zA-Z0-9_]+|[一-鿿]{1,2}", " ".join([i, m.name or "", m.description or "", m.short_description or "", *words]).lower())
+        counts = Counter(w for w in found if w not in text.STOP_TOKENS and len(w.strip("_")) > 1)
+        return counts, {w and w.lower() for w in m.keywords or []}, {x for x in i.removeprefix("plugin.").split("_") if x}, m.name or ""
+
+    s, want = {i: sides(i, m) for i, m in rows.items()}, {}
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    for l, r in combinations(sorted(s), 2):
+        (a, k, f, n), (b, m, g, o) = s[l], s[r]
+        cosine = sum(v * b[w] for w, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        score = 0.58 * cosine + 0.22 * share(k, m) + 0.1 * share(f, g) + 0.1 * SequenceMatcher(None, n, o).ratio()
+        if score >= 0.28 or cosine >= 0.42 or share(k, m) >= 0.3 or share(f, g) >= 0.5:
+            want[l, r] = score
+    got = {(r.left_tool_id, r.right_tool_id): r.score for r in entry.queries()["similar_tools"](spark, data).collect()}
+    assert got.keys() == want.keys() and len(got) > 20 and all(abs(got[p] - want[p]) < 1e-5 for p in got)
+    small = spark.createDataFrame([(i, n, " ".join(c.elements()), sorted(x for x in k if x)) for i, (c, k, _, n) in s.items()], "tool_id string, name string, text string, keywords array<string>")
+    one, many = ({tuple(r) for r in similarity.similar_tools(small, block=b).collect()} for b in (2000, 13))
+    assert one == many
+
+
 def test_actions(spark):
     s = "state_id string, tool_id string, score double, enabled boolean"
     states = spark.createDataFrame([("s", "good", 2.0, False), ("s", "bad", -2.0, True), ("s", "ok", 0.2, False)], s)

@@ -51,14 +51,25 @@ def id_family_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(r.withColumn("family", text.jaccard(text.id_family(F.col("left_tool_id")), text.id_family(F.col("right_tool_id")))))
 
 
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    """Every tool once, with the text that tools are compared by: id, name, descriptions and keywords."""
+    m = F.col("metadata")
+    words = F.concat_ws(" ", "tool_id", m["name"], m["description"], m["short_description"], F.array_join(m["keywords"], " "))
+    return table(spark, d, "tools").select("tool_id", m["name"].alias("name"), words.alias("text"), m["keywords"].alias("keywords")).dropDuplicates(["tool_id"])
+
+
 def similar_tools(spark: SparkSession, d: str) -> DataFrame:
-    """J4 with names, over the runtime pool."""
-    pool = table(spark, d, "runtime_pool").select("tool_id", "name", F.col("short_description").alias("text"), "keywords")
-    return rounded(similarity.similar_tools(pool))
+    """J4 with names, over all tools."""
+    return rounded(similarity.similar_tools(_described(spark, d)))
+
+
+def similar_tools_all_plain(spark: SparkSession, d: str) -> DataFrame:
+    """J4 without the names' part, over all tools."""
+    return rounded(similarity.similar_tools(_described(spark, d), with_names=False).drop("name_similarity"))
 
 
 def similar_tools_plain(spark: SparkSession, d: str) -> DataFrame:
-    """J4 without the names' part, which SQL lacks, over the runtime pool."""
+    """J4 without the names' part, which SQL lacks, over the runtime pool alone: its SQL compares all pairs."""
     pool = table(spark, d, "runtime_pool").select("tool_id", "name", F.col("short_description").alias("text"), "keywords")
     return rounded(similarity.similar_tools(pool, with_names=False).drop("name_similarity"))
 
@@ -81,7 +92,7 @@ def policy_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("conversation_id", text.score_any(t, ("先别", "不用", "不要", "don't", "not now")).alias("no_call"), text.score_any(t, ("打开", "open .*page")).alias("browse"), text.score_any(t, ("提醒", "remind", "watch", "看着")).alias("monitor")))
 
 
-QUERIES = {f.__name__: f for f in (token_counts, document_frequency, corpus_size, bm25, tfidf_norms, lexical_features, id_family_pairs, similar_tools, similar_tools_plain, json_objects, stable_ints, policy_scores)}
+QUERIES = {f.__name__: f for f in (token_counts, document_frequency, corpus_size, bm25, tfidf_norms, lexical_features, id_family_pairs, similar_tools, similar_tools_plain, similar_tools_all_plain, json_objects, stable_ints, policy_scores)}
 
 _U = "u as (select tool_id, any_value(source_text) x from tools group by 1)"
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_TOKENS)
