@@ -5,7 +5,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.llm.chosen_path import similar_sets
+from verdigris.llm import chosen_path
+from verdigris.llm.chosen_path import similar_sets, trees_for
 from verdigris.llm.overlap import overlapping_ids, split_overlap
 from verdigris.llm.sets import item_set, shingle_set, word_set
 from verdigris.llm.vp_forest import near_duplicate_groups, near_duplicate_pairs
@@ -82,6 +83,49 @@ def test_chosen_path_hot_copies_and_empty(spark):
         similar_sets(df, "id", "items", 0.0)
 
 
+def near_copies(n, size, edits=2, seed=1):
+    r = random.Random(seed)
+    base = [f"b{k}" for k in range(size)]
+    return [(f"c{k:04}", set(base) - set(r.sample(base, edits)) | {f"n{r.randint(0, 10**6)}" for _ in range(edits)}) for k in range(n)]
+
+
+def with_common_part(n, common, size, seed=2):
+    r = random.Random(seed)
+    rows = [(f"t{k:04}", {f"b{j}" for j in range(common)} | {f"x{r.randint(0, 2000)}" for _ in range(size - common)}) for k in range(n)]
+    return [*rows, ("base", {f"b{j}" for j in range(common)})]
+
+
+@pytest.mark.parametrize("rows", [near_copies(300, 80), near_copies(1000, 40), with_common_part(600, 12, 20)], ids=["80", "many", "nested"])
+def test_chosen_path_ends_in_hot_nodes(spark, rows, monkeypatch):
+    made = []
+
+    def counted(df, label="step"):
+        out = materialise(df, label)
+        if label in ("nodes", "prefixes", "dense", "blocks"):
+            made.append(out.count())
+        return out
+
+    materialise = chosen_path.materialise
+    monkeypatch.setattr(chosen_path, "materialise", counted)
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in rows], "id string, kw array<string>").withColumn("items", item_set(F.col("kw")))
+    got, want = expand(*similar_sets(df, "id", "items", 0.6)), near(rows, 0.6)
+    assert got <= want and len(got) >= 0.995 * len(want)
+    assert sum(made) < 500 * len(rows) and len(made) < 20  # a level's rows do not grow with its depth
+
+
+def test_chosen_path_beyond_its_depth_is_exact(spark):
+    rows = sets(3, 300, True, (1, 9))
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in rows], "id string, kw array<string>").withColumn("items", item_set(F.col("kw")))
+    for depth in (0, 1):
+        assert expand(*similar_sets(df, "id", "items", 0.6, node_size=2, max_depth=depth, block=50)) == near(rows, 0.6)
+
+
+def test_trees_follow_recall():
+    assert trees_for(0.999, 1.5) == 8 and trees_for(0.99, 1.5) < trees_for(0.9999, 1.5)
+    with pytest.raises(ValueError):
+        trees_for(1.0, 1.5)
+
+
 @pytest.mark.parametrize("leaf,reach", [(8, 0), (16, 1), (64, 3)])
 def test_forest_is_exact(spark, leaf, reach):
     rows = sets(leaf, 500, True, (5, 60))
