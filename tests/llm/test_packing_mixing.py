@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.llm import queries
-from verdigris.llm.mixing import mix_sources, shard_quotas
+from verdigris.llm.mixing import hypergeometric, mix_sources, shard_quotas
 from verdigris.llm.packing import pack, pack_report, sum_of_squares
 from verdigris.llm.tokens import token_count
 
@@ -62,6 +62,33 @@ def test_quota_tree_adds_up():
     assert max(totals) - min(totals) <= 2
 
 
+def test_quota_tree_of_huge_totals():
+    blocks = np.array([3_000_000_000, 7, 500_000_000, 10**13])
+    got = [shard_quotas(k, 5, blocks, 5)[0] for k in range(5)]
+    assert (sum(got) == blocks).all() and max(q.sum() for q in got) - min(q.sum() for q in got) <= 3
+    for k in (0, 3):  # fair: within many deviations of the mean
+        assert all(abs(int(q[k]) - blocks[k] / 5) < 12 * blocks[k] ** 0.5 for q in got)
+
+
+def test_hypergeometric_of_large_numbers():
+    rng = np.random.default_rng(1)
+    x = np.array([hypergeometric(rng, 10**9, 3 * 10**9, 4000) for _ in range(400)])
+    assert abs(x.mean() - 1000) < 8 and 20 < x.std() < 36  # the law's: 1000 and 27.4
+    assert hypergeometric(rng, 10**10, 0, 5) == 5 and hypergeometric(rng, 0, 10**10, 5) == 0 and hypergeometric(rng, 2, 10**10, 10**10 + 2) == 2
+    assert hypergeometric(rng, 10**10, 10**10, 2 * 10**10 - 1) in (10**10, 10**10 - 1)
+
+
+def test_draws_do_not_depend_on_files(spark):
+    rows = [(k % 700, ("big", "mid")[k % 2], 1 + k * 37 % 90) for k in range(1500)]
+    df = spark.createDataFrame(rows, "id int, source string, tokens int")
+    other = df.orderBy(F.desc("tokens")).repartition(7, "tokens")
+    weights = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.5, 2)], "source string, target_share double, max_repeats int")
+    kinds = spark.createDataFrame([("s", 512)], "pack_kind string, capacity_tokens int")
+    same = lambda f: sorted(map(tuple, f(df).collect())) == sorted(map(tuple, f(other).collect()))
+    assert same(lambda x: pack(x, "id", "tokens", kinds, shard_size=20_000))
+    assert same(lambda x: mix_sources(x, "id", "source", "tokens", weights, block=200, shard_size=5000, rows_a_bin=50)[0])
+
+
 def test_mix(spark):
     rows = [(f"a{k}", " Big", 10 + k % 5, 1) for k in range(3000)] + [(f"b{k}", "small", 8, 1) for k in range(100)] + [(f"c{k}", "Mid ", 20, 1) for k in range(700)]
     rows += [("n1", None, 5, 1), (None, "big", 5, 1), ("z", "big", 0, 1), ("y", "big", None, 1), ("x", "other", 9, 1)]

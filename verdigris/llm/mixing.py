@@ -10,24 +10,53 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.plans.scratch import materialise
+from verdigris.llm.copies import numbered
+from verdigris.plans.scratch import keep, materialise, scratch
 
 MAX_SOURCES = 10_000  # sources with a weight are configuration
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` without replacement are among the ``good``, for numbers of any size.
+
+    Beyond what numpy takes, the law's own weights are summed around its mode; where its deviation exceeds 100,000, so that
+    the steps cannot be told apart, the rounded normal law stands in.
+    """
+    total = good + bad
+    if total < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, draws))
+    least, most = max(0, draws - bad), min(draws, good)
+    share = good / total
+    deviation = math.sqrt(draws * share * (1 - share) * ((total - draws) / (total - 1)))
+    if deviation > 100_000:
+        return min(most, max(least, round(rng.normal(draws * share, deviation))))
+    lo, hi = (min(most, max(least, math.floor(draws * share + k * (12 * deviation + 5)))) for k in (-1, 1))
+    k = np.arange(lo, hi, dtype=np.float64)
+    steps = np.log((good - k) * (draws - k)) - np.log((k + 1) * (bad - draws + k + 1))
+    weights = np.concatenate([[0.0], np.cumsum(steps)])
+    law = np.cumsum(np.exp(weights - weights.max()))
+    return lo + int(np.searchsorted(law, rng.random() * law[-1], "right"))
+
+
 def shard_quotas(shard: int, shards: int, blocks: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """How many blocks of each source a shard gets, and which is its first.
 
     The tree's root holds all blocks; a node splits its shards in halves and draws the left half's blocks from
-    its own by a multivariate hypergeometric law, so that every shard is a fair sample of the whole and the quotas add up
-    exactly. A node's draw depends on the seed and its place alone: any shard finds its own path in
-    O(log shards), without the others.
+    its own by a multivariate hypergeometric law, source by source, so that every shard is a fair sample of the whole and the
+    quotas add up exactly, whatever their size. A node's draw depends on the seed and its place alone: any shard finds its
+    own path in O(log shards), without the others.
     """
     lo, hi, own, first = 0, shards, blocks.astype(np.int64), np.zeros(len(blocks), np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left_total = int(own.sum()) * (mid - lo) // (hi - lo)
-        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(own, left_total, method="marginals")
+        rest = int(own.sum())
+        wanted = rest * (mid - lo) // (hi - lo)
+        rng, left = np.random.default_rng([seed, lo, hi]), np.zeros_like(own)
+        for k, n in enumerate(own.tolist()):
+            if not wanted:
+                break
+            left[k] = hypergeometric(rng, n, rest - n, wanted)
+            rest, wanted = rest - n, wanted - int(left[k])
         if shard < mid:
             hi, own = mid, left
         else:
@@ -44,7 +73,8 @@ def mix_sources(df: DataFrame, id_col: str, source: str, size_col: str, weights:
     sets the size for all. Where a total asks more of a source than its repeats allow, it gives what it may, the
     others' quotas stay, and the report shows the share reached. Shares are taken among the sources that have records.
     Records with a null id or source, a source without a weight or a size that is null or not positive are not
-    used; repeated rows are records of their own; empty tables give an empty mixture.
+    used; repeated rows are records of their own; empty tables give an empty mixture. In what order or files the rows come
+    does not matter.
 
     A source's records stand in a random order, anew for each repeat, and are used whole from its start until
     its quota is reached (passing it by less than one record). Positions in that order are running sums of
@@ -56,11 +86,16 @@ def mix_sources(df: DataFrame, id_col: str, source: str, size_col: str, weights:
     max_repeats, quota, used, actual_share, repeats, reached, unused``: ``unused`` is the share of what a source has
     that is in no record of the mixture.
     """
+    with scratch(df.sparkSession):
+        return _mix_sources(df, id_col, source, size_col, weights, total, block, shard_size, rows_a_bin, seed)
+
+
+def _mix_sources(df: DataFrame, id_col: str, source: str, size_col: str, weights: DataFrame, total: int | str | None, block: int, shard_size: int, rows_a_bin: int, seed: int) -> tuple[DataFrame, DataFrame]:
     spark = df.sparkSession
     name = lambda c: F.lower(F.trim(F.col(c).cast("string")))
     rows = df.select(F.col(id_col).alias("item_id"), name(source).alias("source"), F.col(size_col).cast("long").alias("size"))
-    rows = rows.where("item_id is not null and source is not null and size > 0").withColumn("rid", F.monotonically_increasing_id())
-    rows = materialise(rows, "sizes")
+    rows = rows.where("item_id is not null and source is not null and size > 0")
+    rows = materialise(numbered(rows), "sizes")
     goal = weights.select(name("source").alias("source"), F.col("target_share").cast("double").alias("share"), F.coalesce(F.col("max_repeats").cast("long"), F.lit(1)).alias("most"))
     goal = goal.where("source is not null").groupBy("source").agg(F.sum(F.coalesce("share", F.lit(0.0))).alias("share"), F.max("most").alias("most"))
     got = goal.join(rows.groupBy("source").agg(F.sum("size").alias("held"), F.count("*").alias("n")), "source", "left").orderBy("source").limit(MAX_SOURCES + 1).collect()
@@ -79,11 +114,11 @@ def mix_sources(df: DataFrame, id_col: str, source: str, size_col: str, weights:
     blocks = np.array([-(-p[3] // block) for p in plan], np.int64)
     facts = F.broadcast(spark.createDataFrame(plan, "sid int, source string, held long, quota long, rounds long, bins long"))
     draw = rows.join(facts, "source").withColumn("repeat", F.explode(F.expr("sequence(0L, rounds - 1)")))
-    draw = draw.withColumn("key", F.pmod(F.xxhash64("item_id", "rid", "repeat", F.lit(seed)), F.lit(1 << 52))).withColumn("bin", F.floor(F.col("key") / F.lit(float(1 << 52)) * F.col("bins")))
+    draw = draw.withColumn("key", F.pmod(F.xxhash64("item_id", "size", "copy", "repeat", F.lit(seed)), F.lit(1 << 52))).withColumn("bin", F.floor(F.col("key") / F.lit(float(1 << 52)) * F.col("bins")))
     totals = draw.groupBy("sid", "repeat", "bin").agg(F.sum("size").alias("here"))
     ahead = Window.partitionBy("sid", "repeat").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("sid", "repeat", "bin", F.coalesce(F.sum("here").over(ahead), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("sid", "repeat", "bin").orderBy("key", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "repeat", "bin").orderBy("key", "item_id", "size", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = draw.join(totals, ["sid", "repeat", "bin"]).withColumn("start", F.col("repeat") * F.col("held") + F.col("before"))
     placed = placed.where("start < quota").withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).where("start < quota")
     # block numbers permuted: k -> (k * step + 1) mod blocks, with a step prime to the number of blocks
@@ -104,9 +139,9 @@ def mix_sources(df: DataFrame, id_col: str, source: str, size_col: str, weights:
                 yield pd.DataFrame({"shard": np.full(int(own.sum()), shard, np.int64), "sid": np.repeat(np.arange(len(own), dtype=np.int32), own), "slot": np.concatenate([np.arange(a, a + n) for a, n in zip(first.tolist(), own.tolist())] or [np.zeros(0)]).astype(np.int64)})
 
     dealt = spark.range(shards).mapInPandas(deal, "shard long, sid int, slot long")
-    order = Window.partitionBy("shard").orderBy(F.xxhash64("key", F.lit(seed + 1)), "sid", "rid", "repeat")
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("key", F.lit(seed + 1)), "sid", "item_id", "size", "copy", "repeat")
     mixture = placed.join(dealt, ["sid", "slot"]).withColumn("position", F.row_number().over(order) - 1)
-    mixture = materialise(mixture.select("shard", "position", "source", "item_id", F.col("repeat").cast("int").alias("repeat"), "size"), "mixture")
+    mixture = keep(materialise(mixture.select("shard", "position", "source", "item_id", F.col("repeat").cast("int").alias("repeat"), "size"), "mixture"))
     sums = mixture.groupBy("source").agg(F.sum("size").alias("used"), F.sum(F.when(F.col("repeat") == 0, F.col("size"))).alias("once")).collect()
     used, once = {r.source: r.used for r in sums}, {r.source: r.once for r in sums}
     made = sum(used.values())

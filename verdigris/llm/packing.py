@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.llm.copies import numbered
 from verdigris.plans.scratch import materialise
 
 MAX_KINDS = 1000  # container kinds are configuration
@@ -53,15 +54,14 @@ def pack(df: DataFrame, id_col: str, size_col: str, kinds: DataFrame, shard_size
     named by kind, shard and number. An item is split only if it exceeds the capacity: into full containers and
     a rest, which is placed like any item. Items with a null id or a null, zero or negative size need no room
     and are not placed; repeated rows are items of their own; kinds with a null or non-positive capacity are
-    left out; empty tables give no row. Other columns do not matter.
+    left out; empty tables give no row. Other columns do not matter, nor does in what order or files the rows come.
 
     Items are dealt by hash over shards of about ``shard_size`` (or 200 containers, if that is more), each packed
     online in hash order by itself. What sharding costs is a shard's last open containers, well under a percent.
     """
     items = df.select(F.col(id_col).alias("item_id"), F.col(size_col).cast("long").alias("size")).where("item_id is not null and size > 0")
-    # a random key beside the id, so that equal ids stay apart
-    items = materialise(items.withColumn("key", F.xxhash64("item_id", F.lit(seed), F.monotonically_increasing_id())), "items")
-    config = kinds.select(F.col("pack_kind").cast("string"), F.col("capacity_tokens").cast("int").alias("capacity")).where("capacity > 0").distinct().limit(MAX_KINDS + 1).collect()
+    items = materialise(numbered(items).withColumn("key", F.xxhash64("item_id", "size", "copy", F.lit(seed))), "items")
+    config = kinds.select(F.col("pack_kind").cast("string"), F.col("capacity_tokens").cast("int").alias("capacity")).where("capacity > 0").distinct().orderBy("pack_kind", "capacity").limit(MAX_KINDS + 1).collect()
     if len(config) > MAX_KINDS or any(r.capacity > MAX_CAPACITY for r in config):
         raise ValueError(f"at most {MAX_KINDS} kinds, of a capacity of at most {MAX_CAPACITY}")
     total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -70,7 +70,7 @@ def pack(df: DataFrame, id_col: str, size_col: str, kinds: DataFrame, shard_size
     dealt = items.crossJoin(spread).withColumn("shard", F.pmod("key", F.col("shards")).cast("int"))
 
     def place(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["key", "item_id"], kind="stable")
+        x = x.sort_values(["key", "item_id", "size", "copy"], kind="stable")
         capacity, size = int(x["capacity"].iloc[0]), x["size"].to_numpy()
         full, rest = size // capacity, size % capacity
         some = rest > 0
