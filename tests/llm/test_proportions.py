@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from verdigris.llm.proportions import _quotas, sample_to_targets
@@ -43,3 +44,19 @@ def test_too_many_targets(spark, monkeypatch):
     targets = spark.createDataFrame([("a", "en", 0.5, 0), ("b", "en", 0.5, 0)], TARGETS)
     with pytest.raises(ValueError):
         sample_to_targets(spark.createDataFrame([("x", "a", "en")], "id string, kind string, lang string"), targets, "id", ["kind", "lang"])
+
+
+def test_quotas_of_many_cells():
+    r = np.random.default_rng(1)
+    cells = [{"target_share": x, "min_count": int(m), "key": (k,)} for k, (x, m) in enumerate(zip(r.random(20_000) ** 3 / 5000, r.integers(0, 50, 20_000)))]
+    _quotas(cells, 6_000_000)
+    assert sum(c["quota"] for c in cells) == 6_000_000 and all(c["quota"] >= c["min_count"] for c in cells)
+    per = [c["quota"] / c["target_share"] for c in cells if c["quota"] > max(200, c["min_count"])]
+    assert max(per) / min(per) < 1.02  # those above their minimum share in proportion
+
+
+def test_a_cell_that_chance_left_short(spark):
+    df = spark.createDataFrame([(k, "a") for k in range(400)], "id int, kind string")
+    targets = spark.createDataFrame([("a", 1.0, 0)], "kind string, target_share double, min_count int")
+    sample, report = sample_to_targets(df, targets, "id", ["kind"], oversample=-10.0)  # accepts next to none at first
+    assert sample.count() == 80 and report.first().drawn == 80

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.plans.scratch import materialise
+from verdigris.plans.scratch import keep, materialise, scratch
 
 MAX_TARGETS = 100_000  # target cells are configuration; more than this is refused, as quotas are set on the driver
 BINS = 4096
@@ -14,21 +16,20 @@ BINS = 4096
 def _quotas(cells: list[dict], total: int) -> None:
     """Give every cell its quota: its share of ``total``, at least its minimum, ``total`` in all.
 
-    Cells whose minimum exceeds their share are fixed at it; the others divide the rest in proportion, by
-    largest remainder, until no further cell falls under its minimum.
+    Cells whose minimum exceeds their share are fixed at it, those first whose minimum is largest for their share; the
+    others divide the rest in proportion, by largest remainder.
     """
-    free, rest = [c for c in cells if c["target_share"] > 0], total
     for c in cells:
         c["quota"] = c["min_count"]
-    while free:
-        rest = max(0, total - sum(c["min_count"] for c in cells if not any(c is x for x in free)))
-        share = sum(c["target_share"] for c in free)
-        low = [c for c in free if c["target_share"] / share * rest < c["min_count"]]
-        if not low:
-            break
-        free = [c for c in free if not any(c is x for x in low)]
+    free = sorted((c for c in cells if c["target_share"] > 0), key=lambda c: (-c["min_count"] / c["target_share"], c["key"]))
+    rest, share = total - sum(c["min_count"] for c in cells if c["target_share"] <= 0), math.fsum(c["target_share"] for c in free)
+    fixed = 0
+    while fixed < len(free) and free[fixed]["target_share"] * max(0, rest) < free[fixed]["min_count"] * share:
+        rest, share = rest - free[fixed]["min_count"], share - free[fixed]["target_share"]
+        fixed += 1
+    free, rest = free[fixed:], max(0, rest)
     if free:
-        share = sum(c["target_share"] for c in free)
+        share = math.fsum(c["target_share"] for c in free)
         exact = [c["target_share"] / share * rest for c in free]
         for c, x in zip(free, exact):
             c["quota"] = int(x)
@@ -38,6 +39,19 @@ def _quotas(cells: list[dict], total: int) -> None:
             free[k]["quota"] += 1
 
 
+def _cut(rows: DataFrame, names: list[str], plan: DataFrame) -> DataFrame:
+    """Of each cell's rows the ``take`` with the least ``u`` among those under ``p``: a histogram finds the bin in which they
+    are complete, and only that bin is ranked."""
+    near = rows.join(F.broadcast(plan), names).where("u < p").withColumn("bin", F.floor(F.col("u") / F.col("p") * BINS).cast("int"))
+    counts = near.groupBy(*names, "bin").agg(F.count("*").alias("n"), F.first("take").alias("take"))
+    w = Window.partitionBy(*names).orderBy("bin")
+    cut = counts.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n")).where("before < take")
+    near = near.drop("take").join(cut.select(*names, "bin", "take", "upto", "before"), [*names, "bin"])
+    whole = near.where("upto <= take").select("id", *names)
+    edge = near.where("upto > take").withColumn("r", F.row_number().over(Window.partitionBy(*names, "bin").orderBy("u", "id")))
+    return whole.unionByName(edge.where("before + r <= take").select("id", *names))
+
+
 def sample_to_targets(df: DataFrame, targets: DataFrame, id_col: str, categories: list[str], fraction: float = 0.2, oversample: float = 1.1, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Draw ``fraction`` of the distinct ids of ``df`` with the shares of ``targets``; returns (sample, report).
 
@@ -56,6 +70,11 @@ def sample_to_targets(df: DataFrame, targets: DataFrame, id_col: str, categories
     sample: the id, the category columns. report: one row a cell with ``available, wanted`` (the greater of
     ``min_count`` and ``target_share`` times the size), ``quota, drawn, deficit, share`` and ``short``.
     """
+    with scratch(df.sparkSession):
+        return _sample_to_targets(df, targets, id_col, categories, fraction, oversample, seed)
+
+
+def _sample_to_targets(df: DataFrame, targets: DataFrame, id_col: str, categories: list[str], fraction: float, oversample: float, seed: int) -> tuple[DataFrame, DataFrame]:
     spark = df.sparkSession
     norm = [F.lower(F.trim(F.col(c).cast("string"))).alias(f"c{k}") for k, c in enumerate(categories)]
     names = [f"c{k}" for k in range(len(categories))]
@@ -79,20 +98,13 @@ def sample_to_targets(df: DataFrame, targets: DataFrame, id_col: str, categories
         c["p"] = 1.0 if c["take"] == c["available"] else min(1.0, mean / c["available"])
     kinds = ", ".join(f"{c} string" for c in names)
     plan = spark.createDataFrame([tuple(c[x] for x in (*names, "take", "p")) for c in cells], f"{kinds}, take long, p double")
-    near = rows.join(F.broadcast(plan), names).where("u < p").withColumn("bin", F.floor(F.col("u") / F.col("p") * BINS).cast("int"))
-    counts = near.groupBy(*names, "bin").agg(F.count("*").alias("n"), F.first("take").alias("take"))
-    w = Window.partitionBy(*names).orderBy("bin")
-    cut = counts.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n")).where("before < take")
-    near = near.drop("take").join(cut.select(*names, "bin", "take", "upto", "before"), [*names, "bin"])
-    whole = near.where("upto <= take").select("id", *names)
-    edge = near.where("upto > take").withColumn("r", F.row_number().over(Window.partitionBy(*names, "bin").orderBy("u", "id")))
-    sample = materialise(whole.unionByName(edge.where("before + r <= take").select("id", *names)), "sample")
+    sample = materialise(_cut(rows, names, plan), "sample")
     drawn = {tuple(x[c] for c in names): x["n"] for x in sample.groupBy(*names).agg(F.count("*").alias("n")).limit(MAX_TARGETS).collect()}
     retry = [c for c in cells if drawn.get(c["key"], 0) < c["take"]]
     if retry:  # a cell where chance gave too few: the same cut, over all its rows
-        again = spark.createDataFrame([tuple(c[x] for x in (*names, "take")) for c in retry], f"{kinds}, take long")
-        redo = rows.join(F.broadcast(again), names).withColumn("r", F.row_number().over(Window.partitionBy(*names).orderBy("u", "id"))).where("r <= take")
-        sample = sample.join(F.broadcast(again.drop("take")), names, "left_anti").select("id", *names).unionByName(redo.select("id", *names))
+        again = spark.createDataFrame([tuple(c[x] for x in (*names, "take")) + (1.0,) for c in retry], f"{kinds}, take long, p double")
+        sample = sample.join(F.broadcast(again.select(*names)), names, "left_anti").select("id", *names).unionByName(_cut(rows, names, again))
+        sample = materialise(sample, "sample")
         drawn |= {c["key"]: c["take"] for c in retry}
     out = []
     for c in cells:
@@ -100,4 +112,5 @@ def sample_to_targets(df: DataFrame, targets: DataFrame, id_col: str, categories
         out.append((*c["key"], c["target_share"], c["min_count"], size, c["available"], want, c["quota"], n, c["quota"] - n, n / size if size else 0.0, c["available"] < want))
     kinds = ", ".join(f"`{c}` string" for c in categories)
     report = spark.createDataFrame(out, f"{kinds}, target_share double, min_count long, size long, available long, wanted double, quota long, drawn long, deficit long, share double, short boolean")
+    sample = keep(sample)
     return sample.select(F.col("id").alias(id_col), *(F.col(n).alias(c) for n, c in zip(names, categories))), report
