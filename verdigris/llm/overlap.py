@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.sets import shingle_set
-from verdigris.plans.scratch import materialise
+from verdigris.plans.scratch import keep, materialise, scratch
+
+SAMPLE = 20_000  # training texts, at most about, in which stock phrases are looked for
+STOCK = 0.005  # a shingle in more of them than this share is stock: their number is bounded by a text's length
 
 
 def _share(part: Column, whole: Column, num: int, den: int) -> Column:
@@ -36,21 +39,28 @@ def split_overlap(texts: DataFrame, splits: DataFrame, id_col: str, text: str, s
     rows = rows.withColumn("txt", F.concat(F.hex(F.xxhash64("text")), F.lit("."), F.hex(F.xxhash64(F.lit(11), F.col("text")))))
     sides = splits.select(F.col(id_col).cast("string").alias("id"), F.lower(F.trim(F.col(split))).alias("split")).where("id is not null and split is not null")
     sides = sides.groupBy("id").agg(F.max(F.col("split") != train).alias("ev"), F.max(F.col("split") == train).alias("tr"))
-    members = materialise(rows.select("id", "txt").distinct().join(sides, "id"), "members")
+    members = keep(materialise(rows.select("id", "txt").distinct().join(sides, "id"), "members"))
     flags = members.groupBy("txt").agg(F.max("ev").alias("ev"), F.max("tr").alias("tr"))
     pool = rows.select("txt", "text").distinct().join(flags, "txt")
     pool = materialise(pool.withColumn("rid", F.monotonically_increasing_id()), "texts")
     sets, keys = shingle_set(F.col("text"), width), shingle_set(F.col("text"), width, 48)  # buckets need fewer bits than proof
-    index = pool.where("tr").select("rid", F.explode(keys).alias("s")).repartition("s")
-    spread = index.groupBy("s").agg(F.count("rid").alias("df"))
+    training = pool.where("tr").select("rid", F.col("text"))
+    part = max(1, pool.where("tr").count() // SAMPLE)
+    some = training.where(F.pmod(F.xxhash64("rid"), F.lit(part)) == 0)
+    often = max(2, int(STOCK * some.count()))
+    stock = materialise(some.select(F.explode(keys).alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > often).select("s"), "stock")
+    held = training.select("rid", F.explode(keys).alias("s"))
+    index = held.join(F.broadcast(stock), "s", "left_anti").repartition("s")
+    stocked = held.join(F.broadcast(stock), "s", "left_semi")
+    spread = index.groupBy("s").agg(F.count("rid").alias("df"), F.lit(False).alias("hot")).union(stocked.groupBy("s").agg(F.count("rid").alias("df"), F.lit(True).alias("hot")))
     asked = pool.where("ev").select(F.col("rid").alias("e"), keys.alias("x")).select("e", F.size("x").alias("n"), F.explode("x").alias("s"))
     # shingles without a training text come first in the order; they are counted and need not travel
     own = Window.partitionBy("e")
     free = F.col("n") - F.ceil(F.col("n") * num / den)
     known = asked.join(spread, "s").withColumn("lost", F.col("n") - F.count("s").over(own)).where(F.col("lost") <= free)
     probes = known.withColumn("k", F.col("lost") + F.row_number().over(own.orderBy("df", "s"))).where(F.col("k") <= free + agree)
-    probes = probes.select("e", "s", F.least(F.lit(agree), F.col("n") - free).alias("least"))
-    met = probes.join(index, "s").groupBy("e", F.col("rid").alias("t")).agg(F.count("*").alias("met"), F.first("least").alias("least"))
+    probes = probes.select("e", "s", "hot", F.least(F.lit(agree), F.col("n") - free).alias("least"))
+    met = probes.where("not hot").join(index, "s").union(probes.where("hot").join(stocked, "s")).groupBy("e", F.col("rid").alias("t")).agg(F.count("*").alias("met"), F.first("least").alias("least"))
     near = materialise(met.where("met >= least").select("e", "t"), "near")
     needed = near.select(F.col("e").alias("rid")).union(near.select("t")).distinct()
     held = pool.select("rid", "txt", "text").join(needed, "rid", "left_semi").withColumn("x", sets).drop("text")
@@ -59,7 +69,7 @@ def split_overlap(texts: DataFrame, splits: DataFrame, id_col: str, text: str, s
     two = held.select(F.col("rid").alias("t"), F.col("txt").alias("t_txt"), F.col("x").alias("right"))
     both = near.join(one, "e").join(two, "t").withColumn("common", F.size(F.array_intersect("left", "right")))
     both = both.where(_share(F.col("common"), F.size("left"), num, den))
-    return members, both.select(F.col("e_txt").alias("e"), F.col("t_txt").alias("t"), "common", (F.col("common") / F.size("left")).alias("contained"))
+    return members, keep(materialise(both.select(F.col("e_txt").alias("e"), F.col("t_txt").alias("t"), "common", (F.col("common") / F.size("left")).alias("contained")), "overlaps"))
 
 
 def overlapping_ids(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -67,3 +77,21 @@ def overlapping_ids(members: DataFrame, pairs: DataFrame) -> DataFrame:
     e = members.where("ev").select(F.col("id").alias("eval_id"), F.col("txt").alias("e"))
     t = members.where("tr").select(F.col("id").alias("train_id"), F.col("txt").alias("t"))
     return pairs.join(e, "e").join(t, "t").where("eval_id <> train_id").select("eval_id", "train_id", "contained")
+
+
+def partner_counts(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(id, partners)``: with how many training ids each evaluation id overlaps, of those that do with any.
+
+    Ids are counted a text, and the counts multiplied out over the pairs of texts; only ids that have several texts or stand on
+    both sides are listed pair by pair.
+    """
+    single = members.groupBy("id").agg((F.count("*") == 1).alias("single"))
+    m = members.join(single, "id")
+    counts = m.where("tr and single").groupBy(F.col("txt").alias("t")).agg(F.count("*").alias("n"))
+    plain = pairs.join(counts, "t").groupBy("e").agg(F.sum("n").alias("n"))
+    several = m.where("tr and not single").select("id", F.col("txt").alias("t"))
+    listed = pairs.join(several, "t").groupBy("e").agg(F.countDistinct("id").alias("n"))
+    a_text = plain.union(listed).groupBy(F.col("e").alias("txt")).agg(F.sum("n").alias("partners"))
+    simple = m.where("ev and single and not tr").join(a_text, "txt").select("id", "partners")
+    rest = overlapping_ids(members.join(m.where("ev and (not single or tr)").select("id").distinct().withColumn("asks", F.lit(True)), "id", "left").withColumn("ev", F.col("ev") & F.col("asks").isNotNull()), pairs)
+    return simple.union(rest.groupBy(F.col("eval_id").alias("id")).agg(F.countDistinct("train_id").alias("partners")))
