@@ -135,22 +135,20 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-TOXIC = 0.4
-
-
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(_t(spark, d, "documents").select("doc_id", "source", "text"))
-    return toxic_documents(docs, _t(spark, d, "doc_labels"), keep=("source",), threshold=TOXIC).withColumnRenamed("id", "doc_id")
+    return toxic_documents(docs, _t(spark, d, "doc_labels"), keep_cols=("source",)).withColumnRenamed("id", "doc_id")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_scores(spark, d).where(F.col("score") >= TOXIC).select("doc_id")
+    return p8_scores(spark, d).where("flagged").select("doc_id")
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: its documents, how many are flagged, in all and by class, and the mean score."""
     rows = p8_scores(spark, d).groupBy(F.lower(F.trim("source")).alias("source"))
-    hit = (F.col("score") >= TOXIC).cast("int")
-    return rows.agg(F.count("*").alias("documents"), F.sum(hit).alias("flagged"), F.avg(hit).alias("rate"), F.avg("score").alias("mean_score"))
+    of = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    return rows.agg(F.count("*").alias("documents"), F.count_if("flagged").alias("flagged"), F.avg(F.col("flagged").cast("int")).alias("rate"), of("abusive"), of("hateful"), of("sexual"), F.avg("score").alias("mean_score"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_sample, p2_report, p3_found, p3_report, p4_found, p4_reported, p5_found, p6_pack, p6_report, p7_mix, p7_report, p8_found, p8_scores, p8_rates)}
