@@ -247,7 +247,7 @@ class Labelled:
 
     def choose(self, counts: np.ndarray, total: int, seed: int = 1, rounds: int = 12) -> tuple[float, float]:
         """The least odds and the least score with the best F1 against the labels of documents held out, over two folds.
-        Of scores that do nearly as well, the middle one."""
+        Of scores that do nearly as well, one in their lower quarter: what is flagged is reviewed, what is missed is not."""
         fold = np.random.default_rng(seed).integers(0, 2, len(self.toxic)) == 0
         odds = [self.odds(counts, total, docs) for docs in (fold, ~fold)]
         highest = np.full(len(self.toxic), -np.inf)
@@ -260,7 +260,7 @@ class Labelled:
             scores[~docs] = self.best(self.fit(o, least, docs, rounds))[~docs]
         f1 = np.array([_f1(scores >= x, self.toxic) for x in THRESHOLDS])
         best = np.flatnonzero(f1 >= f1.max() - 0.005)
-        return least, THRESHOLDS[int(best[len(best) // 2])]
+        return least, THRESHOLDS[int(best[len(best) // 4])]
 
     def train(self, counts: np.ndarray, total: int, threshold: float | None = None, rounds: int = 30) -> tuple[Crf, float, list[str], np.ndarray]:
         """The field, the least score, and for each class the log probabilities of its passages' features. ``counts`` says how
