@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from verdigris.catalog import calibration, conversations, models, policies, ranking, texts, universes
+from verdigris.catalog import calibration, conversations, models, policies, ranking, records, texts, universes
 
-_PARTS = (calibration, ranking, conversations, universes, texts, policies, models)
+_PARTS = (calibration, ranking, conversations, universes, texts, policies, models, records)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}

@@ -1,4 +1,4 @@
-"""Queries on conversations, candidates and jobs: J1-J13, P3-P6, P16, P23, R1, X1, A5, A25."""
+"""Queries on conversations, candidates and jobs: J1, J5, J6, J8-J10, J12, P2, P6, P7, P23-P27, R1, R4, W11, X1, A5, A25."""
 
 from __future__ import annotations
 
@@ -57,8 +57,8 @@ def tool_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conversation_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """P26, P27 over the whole catalogue."""
-    return generation.conversation_tasks(spark, tools(spark, d).select("tool_id", "kind"), 5000, 2)
+    """P26, P27 over the whole catalogue, as many tasks as there are rows of them."""
+    return generation.conversation_tasks(spark, tools(spark, d).select("tool_id", "kind"), table(spark, d, "generation_tasks").count(), 2)
 
 
 def quality_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -148,4 +148,6 @@ ORACLES = {
     "render_tools": f"with {_TOOLS} select tool_id, concat_ws(chr(10), 'tool_id: ' || tool_id, 'kind: ' || kind, case when trim(name) <> '' then 'name: ' || name end, source_text) \"text\" from u",
     "render_tool_lists": f"with {_TASKS}, {_TOOLS}, e as (select conversation_id, unnest(target_tool_ids) tool_id, unnest(range(len(target_tool_ids))) pos from t) select conversation_id sample_id, string_agg((pos + 1) || '. ' || tool_id || chr(10) || source_text, chr(10) || chr(10) order by pos) tool_list from e join u using (tool_id) group by 1",
     "sample_numbers": f"with {_TASKS} select conversation_id, printf('sample_%06d', row_number() over (order by conversation_id)) sample_id from t",
+    "run_summary": """with i as (select doc_id, lang from documents), d as (select distinct doc_id from doc_labels where doc_id is not null), s as (select i.* from i where doc_id not in (select doc_id from d))
+        select (select count(*) from i) total, (select count(*) from d) completed_existing, count(*) submitted, count(lang) succeeded, (count(*) - count(lang)) failed, (select count(*) from i) - count(*) skipped from s""",
 }

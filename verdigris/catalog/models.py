@@ -1,4 +1,4 @@
-"""Queries on vectors, losses and the action policy: F12-F15, F23-F25, O12, R7, R8, A22, A23."""
+"""Queries on vectors, losses and the action policy: F11-F14, F23-F25, O12, R7, R8, A22, A23."""
 
 from __future__ import annotations
 

@@ -35,10 +35,6 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
-def logit(p: Column) -> Column:
-    return F.ln(p / (1.0 - p))
-
-
 def softplus(x: Column) -> Column:
     """ln(1 + e^x), without overflow."""
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))

@@ -20,9 +20,26 @@ def _check_clip(p: float) -> None:
         raise ValueError("clip must be in [0, 0.5)")
 
 
+def _medians(judgments: DataFrame, keys: Sequence[str], scores: dict[str, tuple[str, str]]) -> DataFrame:
+    """The exact median and the range of each score within ``keys``, under the names given for them. Of one or two runs the
+    median is the middle of their bounds; only larger groups are sorted."""
+    bounds = [x for c in scores for x in (F.min(c).alias(f"{c}_lo_"), F.max(c).alias(f"{c}_hi_"))]
+    groups = judgments.groupBy(*keys).agg(F.count("*").alias("runs_"), *bounds)
+    ranges = [(F.col(f"{c}_hi_") - F.col(f"{c}_lo_")).alias(r) for c, (_, r) in scores.items()]
+    few = groups.where("runs_ <= 2").select(*keys, *((F.col(f"{c}_lo_") / 2 + F.col(f"{c}_hi_") / 2).alias(m) for c, (m, _) in scores.items()), *ranges)
+    many = judgments.join(groups.where("runs_ > 2").select(*keys), list(keys), "left_semi")
+    many = many.groupBy(*keys).agg(*(F.median(c).alias(m) for c, (m, _) in scores.items()), *((F.max(c) - F.min(c)).alias(r) for c, (_, r) in scores.items()))
+    return few.unionByName(many)
+
+
 def aggregate_judgments(judgments: DataFrame, keys: Sequence[str] = ("sample_id", "tool_id"), score: str = "raw_score") -> DataFrame:
     """A1, A3: each key's exact median score over its judge runs, and their range as ``judge_disagreement``."""
-    return judgments.groupBy(*keys).agg(F.median(score).alias("raw_score"), (F.max(score) - F.min(score)).alias("judge_disagreement"))
+    return _medians(judgments, keys, {score: ("raw_score", "judge_disagreement")})
+
+
+def _rounded(z: Column, digits: int) -> Column:
+    z = F.round(z, digits)
+    return F.when(z == 0, F.lit(0.0)).otherwise(z)  # one zero, not two of either sign
 
 
 def local_z(rows: DataFrame, by: Sequence[str] = ("sample_id",), value: str = "raw_score", digits: int | None = 9) -> DataFrame:
@@ -33,7 +50,7 @@ def local_z(rows: DataFrame, by: Sequence[str] = ("sample_id",), value: str = "r
     """
     of = rows.groupBy(*by).agg(F.avg(value).alias("m_"), F.stddev_pop(value).alias("s_"), (F.max(value) == F.min(value)).alias("flat_"))
     z = F.when(F.col("flat_"), F.lit(0.0)).otherwise(F.try_divide(F.col(value) - F.col("m_"), F.col("s_")))
-    z = F.round(z, digits) if digits is not None else z
+    z = _rounded(z, digits) if digits is not None else z
     return rows.join(of, list(by)).withColumn("local_z", z).drop("m_", "s_", "flat_")
 
 
@@ -58,17 +75,25 @@ def aggregate_axes(judgments: DataFrame) -> DataFrame:
     then a run is one row, grouped once for all its axes, and only the results are unpivoted."""
     if "axis" in judgments.columns:
         return aggregate_judgments(judgments, ("sample_id", "tool_id", "axis"))
-    aggs = [x for a in AXES for x in (F.median(a).alias(f"{a}_m"), (F.max(a) - F.min(a)).alias(f"{a}_d"))]
-    wide = judgments.groupBy("sample_id", "tool_id").agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"{a}_m").alias("raw_score"), F.col(f"{a}_d").alias("judge_disagreement")) for a in AXES))
-    return wide.select("sample_id", "tool_id", F.explode(rows).alias("x")).select("sample_id", "tool_id", "x.*")
+    return _long(_medians(judgments, ("sample_id", "tool_id"), {a: (f"{a}_m", f"{a}_d") for a in AXES}))
+
+
+def _long(wide: DataFrame, z: dict[str, Column] | None = None) -> DataFrame:
+    parts = lambda a: [F.lit(a).alias("axis"), F.col(f"{a}_m").alias("raw_score"), F.col(f"{a}_d").alias("judge_disagreement"), *([z[a].alias("local_z")] if z else [])]
+    return wide.select("sample_id", "tool_id", F.explode(F.array(*(F.struct(*parts(a)) for a in AXES))).alias("x")).select("sample_id", "tool_id", "x.*")
 
 
 def calibrate_axes(judgments: DataFrame, clip_at: float = 0.001) -> DataFrame:
-    """As :func:`calibrate` for judgments by axis (see :func:`aggregate_axes`), ranked within each axis."""
-    scored = materialise(aggregate_axes(judgments), "scores")
-    scored = materialise(local_z(scored, ("sample_id", "axis")), "scores")
-    return rank_gaussian(scored, "local_z", ("axis",), clip_at)
+    """As :func:`calibrate` for judgments by axis (see :func:`aggregate_axes`), ranked within each axis. Wide judgments stay
+    wide until all axes have their z-scores."""
+    if "axis" in judgments.columns:
+        scored = local_z(materialise(aggregate_axes(judgments), "scores"), ("sample_id", "axis"))
+    else:
+        wide = materialise(_medians(judgments, ("sample_id", "tool_id"), {a: (f"{a}_m", f"{a}_d") for a in AXES}), "scores")
+        of = wide.groupBy("sample_id").agg(*(x for a in AXES for x in (F.avg(f"{a}_m").alias(f"{a}_a"), F.stddev_pop(f"{a}_m").alias(f"{a}_s"), (F.max(f"{a}_m") == F.min(f"{a}_m")).alias(f"{a}_f"))))
+        score = lambda a: F.when(F.col(f"{a}_f"), F.lit(0.0)).otherwise(F.try_divide(F.col(f"{a}_m") - F.col(f"{a}_a"), F.col(f"{a}_s")))
+        scored = _long(wide.join(of, "sample_id"), {a: _rounded(score(a), 9) for a in AXES})
+    return rank_gaussian(materialise(scored, "scores"), "local_z", ("axis",), clip_at)
 
 
 def relative_mix(group_max: Column, absolute: float, full: float, weight: float) -> Column:

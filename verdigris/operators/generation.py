@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.operators.calibrate import AXES
+from verdigris.operators.ranks import positions
 from verdigris.operators.sampling import uniform
 from verdigris.operators.universe import clean_keywords, plugin_source_text
 
@@ -29,7 +30,6 @@ SCENARIOS = (
 SCENARIO_MIX = ("companion_chat_no_tool", *(s[0] for s in SCENARIOS))  # the first counts twice
 LANGUAGE_MIX = ("zh", "zh", "zh", "en", "mixed")
 PLUGIN_SCENARIOS = ("explicit_plugin_action", "passive_event", "screen_context_weak_tool", "proactive_context_weak_tool", "assistant_suggested_tool_no_auth")
-SPEC_FORBIDDEN = ("runtime", "plugin_runtime", "status", "available", "source_path", "enabled", "auto_start")
 
 
 def scenario_metadata(df: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def conversation_tasks(spark: SparkSession, tools: DataFrame, count: int, target
     """``count`` tasks, each with a scenario, a language and ``targets`` tools from the pool that suits the scenario: agents for
     agentic tasks, plugins for five others, else all. Draws are fixed by seed and task, so tasks are made in parallel.
 
-    Tools are numbered within their pool; a task draws distinct numbers and joins the tools by number."""
+    Tools are numbered within their pool; a task draws distinct numbers, any set of which is as likely, and joins the tools by number."""
     if count < 1 or targets < 1:
         raise ValueError("count and targets must be at least 1")
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (F.floor(uniform("n", seed=seed + k) * len(values)) + 1).cast("int"))
@@ -70,11 +70,20 @@ def conversation_tasks(spark: SparkSession, tools: DataFrame, count: int, target
     s = F.col("scenario_type")
     wanted = F.when((s == "agentic_task") & F.lit(size["agent"] > 0), "agent").when(s.isin(*PLUGIN_SCENARIOS) & F.lit(size["plugin"] > 0), "plugin").otherwise("all")
     pools = tools.select("tool_id", F.explode(F.array("kind", F.lit("all"))).alias("pool"))
-    pools = pools.withColumn("number", F.row_number().over(Window.partitionBy("pool").orderBy("tool_id")) - 1)
+    pools = positions(pools, ["pool", "tool_id"], "place")
+    first = pools.groupBy("pool").agg(F.min("place").alias("first"))  # three rows at most
+    pools = pools.join(F.broadcast(first), "pool").select("tool_id", "pool", (F.col("place") - F.col("first")).alias("number"))
     sizes = F.create_map(*(x for k, v in size.items() for x in (F.lit(k), F.lit(v))))
     tasks = tasks.withColumn("pool", wanted).withColumn("size", sizes[F.col("pool")])
-    start = F.floor(uniform("n", seed=seed + 3) * F.col("size"))  # successive numbers from there are distinct
-    drawn = tasks.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.lit(targets), F.col("size")) - 1))).withColumn("number", F.pmod(start + F.col("k"), F.col("size")))
+    # each target has a draw of its own among the numbers that are left: one that hits a taken number moves on past it
+    def next_(acc: Column, k: Column) -> Column:
+        draw = F.floor(uniform("n", k, seed=seed + 3) * (F.col("size") - F.size(acc))).cast("long")
+        free = F.aggregate(F.array_sort(acc), draw, lambda at, taken: at + (taken <= at).cast("long"))
+        return F.concat(acc, F.array(free))
+
+    wanted_ = F.sequence(F.lit(1), F.least(F.lit(targets), F.col("size")).cast("int"))
+    numbers = F.aggregate(wanted_, F.array().cast("array<bigint>"), next_)
+    drawn = tasks.select("*", F.posexplode(numbers).alias("k", "number"))
     named = drawn.join(pools, ["pool", "number"]).groupBy("n").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "tool_id"))), lambda x: x["tool_id"]).alias("target_tool_ids"))
     return tasks.join(named, "n").select(F.format_string("conv_%06d", "n").alias("conversation_id"), "target_tool_ids", "language", "scenario_type")
 

@@ -1,4 +1,4 @@
-"""Conversation-tool pairs: joins, rendering, virtual candidates, dry-run judgments."""
+"""Conversation-tool pairs: joins, rendering, virtual candidates, dry-run judgments."""
 
 from __future__ import annotations
 
@@ -36,8 +36,8 @@ def missing_and_extra(expected: DataFrame, actual: DataFrame, keys: Sequence[str
 
 
 def require_none(df: DataFrame, message: str, limit: int = 20) -> None:
-    """Raise ``ValueError`` with the first rows of a table of violations, sorted, if it has any."""
-    rows = sorted(str(tuple(r)) for r in df.limit(limit).collect())
+    """Raise ``ValueError`` with the first rows, in order, of a table of violations, if it has any."""
+    rows = [str(tuple(r)) for r in df.distinct().orderBy(*df.columns).limit(limit).collect()]
     if rows:
         raise ValueError(f"{message}: {', '.join(rows)}")
 

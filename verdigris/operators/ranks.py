@@ -9,24 +9,18 @@ from pyspark.sql import functions as F
 
 from verdigris.plans.scratch import materialise
 
-BINS = 2048
-
-
 def _prefix(counts: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """``counts(*by, value, n)`` of distinct values plus ``before``, the n of all lesser values of the same ``by``.
 
-    Values are cut into bins of equal width; sums run within a bin, and over the few bin totals.
+    The values are cut into ranges of about equal length at bounds taken from a sample, so that a far value makes no range
+    long, and written once; sums run within a range, and over the totals of the ranges, one a partition and ``by``.
     """
-    ends = counts.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    rows = counts.join(ends, list(by)) if by else counts.crossJoin(F.broadcast(ends))
-    place = (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS
-    rows = rows.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.floor(place)).otherwise(F.lit(0)).cast("long"))
-    totals = rows.groupBy(*by, "bin").agg(F.sum("n").alias("in_bin"))
-    over = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "bin", F.coalesce(F.sum("in_bin").over(over), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*by, "bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(totals, [*by, "bin"]).withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return rows.select(*by, value, "n", "before")
+    rows = materialise(counts.repartitionByRange(*by, value).withColumn("part_", F.spark_partition_id()), "ranges")
+    over = Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*by, "part_").agg(F.sum("n").alias("held_")).select(*by, "part_", F.coalesce(F.sum("held_").over(over), F.lit(0)).alias("base_"))
+    inside = Window.partitionBy(*by, "part_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(F.broadcast(totals), [*by, "part_"]) if not by else rows.join(totals, [*by, "part_"])
+    return rows.select(*by, value, "n", (F.col("base_") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"))
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:

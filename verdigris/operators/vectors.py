@@ -1,4 +1,4 @@
-"""Vector features on arrays of floats."""
+"""Vector features on arrays of floats."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Plugin folders as tools."""
+"""Plugin folders as tools."""
 
 from __future__ import annotations
 

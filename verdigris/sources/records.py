@@ -1,7 +1,9 @@
-"""Files of records: JSON lines, universes and run logs."""
+"""Files of records: JSON lines, universes and predictions."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,15 +11,18 @@ from pyspark.sql.types import StructType
 from verdigris.operators.pairs import require_none
 
 TOOLS = "tool_id string, kind string, source_text string, metadata string"
-CANDIDATES = "sample_id string, conversation_id string, candidate_set struct<sampling_seed: bigint, plugin_sample_rate: double, tool_ids: array<string>>"
-CONVERSATIONS = "conversation_id string, messages array<struct<role: string, text: string, attachments: array<string>, timestamp: double>>, trigger string, generation_hint struct<target_tool_ids: array<string>, scenario_id: string, language: string>, provenance struct<model: string, prompt_version: string, seed: bigint, extra: map<string, string>>"
-JUDGMENTS = "sample_id string, conversation_id string, judge_run_id string, candidate_tool_order array<string>, scores array<struct<tool_id: string, raw_score: double>>, provenance struct<model: string, prompt_version: string, seed: bigint, extra: map<string, string>>"
 PREDICTIONS = "conversation_id string, tool_id string, label double, prediction double, raw_score double, factor_predictions array<double>, factor_labels array<double>"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_of(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop has them."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = path_of(spark, path)
+    return bool(fs.globStatus(p))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, missing_ok: bool = True, strict: bool = True) -> DataFrame:
@@ -47,8 +52,18 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
-    """K1, K2: rows as JSON lines with sorted fields; a replaced table appears whole or not at all."""
-    df.select(sorted(df.columns)).write.mode("append" if append else "overwrite").json(path)
+    """K1, K2: rows as JSON lines with sorted fields. A table that is replaced is written beside its place first and then
+    moved there: until then the old one stands."""
+    spark, rows = df.sparkSession, df.select(sorted(df.columns))
+    if append:
+        rows.write.mode("append").json(path)
+        return
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
+    rows.write.json(new)
+    (source, fs), (target, _) = path_of(spark, new), path_of(spark, path)
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"could not write {path}")
 
 
 def read_predictions(spark: SparkSession, run: str) -> DataFrame:
