@@ -177,5 +177,5 @@ def markdown(title: str, sections: Mapping[str, DataFrame], limit: int = 20) ->
 
 def summary_csv(df: DataFrame) -> DataFrame:
     """Every number with six places, NA where there is none."""
-    cell = lambda c, t: F.coalesce(F.format_string("%.6f", F.col(c).cast("double")) if t in ("double", "float") else F.col(c).cast("string"), F.lit("NA")).alias(c)
+    cell = lambda c, t: F.when(F.col(c).isNull(), "NA").otherwise(F.format_string("%.6f", F.col(c).cast("double")) if t in ("double", "float") else F.col(c).cast("string")).alias(c)
     return df.select(*(cell(c, t) for c, t in df.dtypes))
