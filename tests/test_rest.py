@@ -150,7 +150,7 @@ def test_stream_once(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = spark.sql("select id, timestamp '2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) ts from range(20)")
     rows.union(rows).write.parquet(src)
-    run = lambda: stream_once(spark.readStream.schema(rows.schema).parquet(src), "id", "ts", "1 hour", lambda x: x.selectExpr("id", "id * 2 as twice"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    run = lambda: stream_once(spark.readStream.schema(rows.schema).parquet(src), "id", lambda x: x.selectExpr("id", "id * 2 as twice"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     run()
     rows.write.mode("append").parquet(src)
     run()
@@ -160,3 +160,12 @@ def test_stream_once(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_slates_fill_their_group(spark):
+    states = spark.createDataFrame([("s", f"t{k}", float(k - 3), k % 2 == 0) for k in range(8)], "state_id string, tool_id string, score double, enabled boolean")
+    kinds = lambda n: {r.slate for r in actions.slates(states, group_size=n).collect()}
+    assert kinds(2) <= {"anchor", "conservative"} and "hard_negative" in kinds(5) and not any(k.startswith("sampled_") for k in kinds(5))
+    assert {k for k in kinds(12) if k.startswith("sampled_")} <= {f"sampled_{k}" for k in range(2, 9)} and any(k.startswith("sampled_") for k in kinds(12))
+    with pytest.raises(ValueError):
+        actions.slates(states, group_size=0)

@@ -71,8 +71,10 @@ def plugin_exposures(spark: SparkSession, d: str) -> DataFrame:
 
 def anchor_join(spark: SparkSession, d: str) -> DataFrame:
     """Labelled pairs with their tool and their task."""
-    rows = table(spark, d, "pair_examples").where("label is not null").select("sample_id", "conversation_id", "tool_id", "label").distinct()
-    return rows.join(tools(spark, d).select("tool_id", "kind", "name"), "tool_id").join(tasks(spark, d).select("conversation_id", "language"), "conversation_id")
+    rows = table(spark, d, "pair_examples").where("label is not null and sample_id is not null").select("sample_id", "conversation_id", "tool_id", "label")
+    known, conv = tools(spark, d).select("tool_id", "kind", "name"), tasks(spark, d).select("conversation_id", "language")
+    rows = rows.join(known, "tool_id", "left_semi").join(conv, "conversation_id", "left_semi")
+    return pairs.join_pairs(rows.select("sample_id", "tool_id", "label").distinct(), rows.select("sample_id", "conversation_id").distinct(), conv, known)
 
 
 def render_tools(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +146,7 @@ ORACLES = {
         select (select count(*) from k) samples, (select count(*) from c where tool_id in (select tool_id from u where kind = 'plugin')) plugin_exposures, (select count(*) from k where n < (select count(*) from a)) missing_agent_samples, (select count(*) from o) invalid_judgment_samples,
             (select round(avg((m >= 80)::int), 6) from (select max(raw_score) m from j group by sample_id)) high_raw_score_ratio""",
     "plugin_exposures": f"with {_TOOLS} select tool_id, count(distinct sample_id) samples from pair_examples where tool_id in (select tool_id from u where kind = 'plugin') and sample_id is not null group by 1",
-    "anchor_join": f"with {_TASKS}, {_TOOLS}, r as (select distinct sample_id, conversation_id, tool_id, label from pair_examples where label is not null) select r.*, u.kind, u.name, t.language from r join u using (tool_id) join t using (conversation_id)",
+    "anchor_join": f"with {_TASKS}, {_TOOLS}, r as (select distinct sample_id, conversation_id, tool_id, label from pair_examples where label is not null and sample_id is not null) select r.*, u.kind, u.name, t.language from r join u using (tool_id) join t using (conversation_id)",
     "render_tools": f"with {_TOOLS} select tool_id, concat_ws(chr(10), 'tool_id: ' || tool_id, 'kind: ' || kind, case when trim(name) <> '' then 'name: ' || name end, source_text) \"text\" from u",
     "render_tool_lists": f"with {_TASKS}, {_TOOLS}, e as (select conversation_id, unnest(target_tool_ids) tool_id, unnest(range(len(target_tool_ids))) pos from t) select conversation_id sample_id, string_agg((pos + 1) || '. ' || tool_id || chr(10) || source_text, chr(10) || chr(10) order by pos) tool_list from e join u using (tool_id) group by 1",
     "sample_numbers": f"with {_TASKS} select conversation_id, printf('sample_%06d', row_number() over (order by conversation_id)) sample_id from t",

@@ -49,20 +49,25 @@ def recommend(states: DataFrame, policy: GapPolicy = GapPolicy(), max_actions: i
     return rows.select(key, "tool_id", F.when(F.col("enabled"), "disable").otherwise("enable").alias("action"), "desired_probability", "gain", "action_probability", "place")
 
 
-def slates(states: DataFrame, policy: GapPolicy = GapPolicy(), max_actions: int = 5, seed: int = 0, key: str = "state_id") -> DataFrame:
-    """Alternative action lists of a state, a row an action: anchor, conservative, sampled (a fixed draw of seed, state
-    and tool), over-recommending, and a hard negative: the anchor with its last action replaced by the weakest one (that
-    alone, where the anchor is empty; where nothing is weak, the last action alone)."""
+def slates(states: DataFrame, policy: GapPolicy = GapPolicy(), max_actions: int = 5, seed: int = 0, key: str = "state_id", group_size: int = 5) -> DataFrame:
+    """``group_size`` alternative action lists of a state, a row an action: anchor, conservative, sampled (a fixed draw of seed,
+    state and tool), over-recommending, and a hard negative: the anchor with its last action replaced by the weakest one (that
+    alone, where the anchor is empty; where nothing is weak, the last action alone); then further samples, sampled_2 and so on.
+
+    What the hard negative needs of a whole state is aggregated; the lists keep their first actions only, so that no state, however
+    many tools it has, is ranked whole."""
+    if group_size < 1 or max_actions < 1:
+        raise ValueError("group_size and max_actions must be at least 1")
     rows = gaps(states, policy)
-    g, t = F.col("gain"), F.col("threshold")
-    u = F.pmod(F.xxhash64(key, "tool_id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    kinds = {"anchor": g > t, "conservative": g > F.least(F.lit(0.98), t + 0.10), "sampled": u < F.col("action_probability"), "over_recommend": g > F.greatest(F.lit(0.0), t - 0.18)}
-    up, down = Window.partitionBy(key).orderBy("gain", F.desc("tool_id")), Window.partitionBy(key).orderBy(F.desc("gain"), "tool_id")
-    rows = rows.withColumns({"from_top": F.row_number().over(down), "from_end": F.row_number().over(up), "strong": F.count_if(g > t).over(Window.partitionBy(key)), "all": F.count("*").over(Window.partitionBy(key))})
-    # thresholds differ by state of the tool, so strong and weak actions may alternate
-    rows = rows.withColumns({"nth": F.count_if(g > t).over(down.rowsBetween(Window.unboundedPreceding, 0)), "weak": F.count_if(g <= t).over(up.rowsBetween(Window.unboundedPreceding, 0))})
-    weakest = (g <= t) & (F.col("weak") == 1)
-    kinds["hard_negative"] = F.when(F.col("strong") == F.col("all"), F.col("from_end") == 1).otherwise(weakest | ((g > t) & (F.col("nth") < F.col("strong"))))
+    g, t, tool = F.col("gain"), F.col("threshold"), F.col("tool_id")
+    drawn = lambda k: F.pmod(F.xxhash64(key, "tool_id", F.lit(seed + k)), F.lit(1 << 52)) / float(1 << 52) < F.col("action_probability")
+    last = lambda which: F.max_by("tool_id", F.when(which, F.struct(-g, tool)))
+    of = rows.groupBy(key).agg(last(g > t).alias("last_strong"), last(g <= t).alias("weakest"))
+    rows = rows.join(of, key)
+    strong = F.when(F.col("weakest").isNull(), tool == F.col("last_strong")).otherwise((tool == F.col("weakest")) | ((g > t) & (tool != F.col("last_strong"))))
+    kinds = {"anchor": g > t, "conservative": g > F.least(F.lit(0.98), t + 0.10), "sampled": drawn(0), "over_recommend": g > F.greatest(F.lit(0.0), t - 0.18), "hard_negative": strong}
+    kinds |= {f"sampled_{k}": drawn(k - 1) for k in range(2, group_size - 3)}
+    kinds = dict(list(kinds.items())[:group_size])
     rows = rows.withColumn("slate", F.explode(F.filter(F.array(*(F.when(v, F.lit(k)) for k, v in kinds.items())), lambda x: x.isNotNull())))
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(key, "slate").orderBy(F.desc("gain"), "tool_id")))
     return rows.where(F.col("place") <= max_actions).select(key, "slate", "place", "tool_id", "enabled", "gain", "action_probability")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +29,17 @@ TOOL_SLICES = {
 }
 
 
-def scenario_slices(scenario: Column) -> Column:
-    """The names of the slices a scenario is in."""
-    return F.filter(F.array(*(F.when(scenario.isin(*v), F.lit(k)) for k, v in SCENARIO_SLICES.items())), lambda x: x.isNotNull())
+def scenario_slices(scenario: Column, slices: Mapping[str, Sequence[str]] = SCENARIO_SLICES) -> Column:
+    """The names of the slices a scenario is in; any table of slices will do."""
+    return F.filter(F.array(*(F.when(scenario.isin(*v), F.lit(k)) for k, v in slices.items())), lambda x: x.isNotNull())
 
 
-def tool_slices(tool_id: Column, text: Column) -> Column:
-    """The names of the slices a tool is in, by its id's prefix and by words in id or text in any case."""
+def tool_slices(tool_id: Column, text: Column, slices: Mapping[str, Sequence[str]] = TOOL_SLICES) -> Column:
+    """The names of the slices a tool is in, by its id's prefix and by words in id or text in any case; any table of
+    slices will do."""
     both = F.lower(F.concat_ws("\n", tool_id, text))
     parts = [F.when(tool_id.startswith(f"{k}."), F.lit(k)) for k in ("agent", "plugin")]
-    parts += [F.when(both.rlike("|".join(v)), F.lit(k)) for k, v in TOOL_SLICES.items()]
+    parts += [F.when(both.rlike("|".join(v)), F.lit(k)) for k, v in slices.items()]
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
