@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm import chosen_path
 from verdigris.llm.chosen_path import similar_sets, trees_for
-from verdigris.llm.overlap import overlapping_ids, split_overlap
+from verdigris.llm.overlap import overlapping_ids, partner_counts, split_overlap
 from verdigris.llm.sets import item_set, shingle_set, word_set
 from verdigris.llm.vp_forest import near_duplicate_groups, near_duplicate_pairs
 
@@ -197,6 +197,12 @@ def test_overlap_against_plain(spark):
     s = {i: shingles(t) for i, t in texts.items()}
     side = {i: x.strip().lower() for i, x in split.items()}
     want = {(e, t) for e in s for t in s if side[e] != "train" and side[t] == "train" and s[e] and len(s[e] & s[t]) * 4 >= 3 * len(s[e])}
-    got = overlapping_ids(*split_overlap(df, sp, "id", "text", "split"))
+    found = split_overlap(df, sp, "id", "text", "split")
+    got = overlapping_ids(*found)
     assert {(x.eval_id, x.train_id) for x in got.collect()} == want and len(want) > 20
+    assert {x.id: x.partners for x in partner_counts(*found).collect()} == {e: sum(1 for a, _ in want if a == e) for e, _ in want}
+    # ids on both sides, and with several texts
+    both = spark.createDataFrame([("a", "u v w x"), ("b", "u v w x"), ("c", "u v w x"), ("c", "k l m n"), ("d", "k l m n")], "id string, text string")
+    sides = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "test"), ("c", "train"), ("d", "valid")], "id string, split string")
+    assert {x.id: x.partners for x in partner_counts(*split_overlap(both, sides, "id", "text", "split")).collect()} == {"a": 1, "b": 2, "d": 1}
     assert overlapping_ids(*split_overlap(df.limit(0), sp, "id", "text", "split")).collect() == []
