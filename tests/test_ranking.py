@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from verdigris.catalog import ranking as queries
 from verdigris.operators import pairs as p
 from verdigris.operators.ranking import ASK_CONFIRM, NO_TOOL, compute_metrics, group_facts
 from verdigris.operators.slices import tool_exposure
@@ -66,3 +67,11 @@ def test_coverage_raises(spark):
     a, b = spark.createDataFrame([("s", "x"), ("s", "y")], "sample_id string, tool_id string"), spark.createDataFrame([("s", ["x", "z"])], "sample_id string, tool_ids array<string>")
     with pytest.raises(ValueError, match="differ"):
         p.normalise_judgments(a, b)
+
+
+def test_virtual_predictions_are_exact(spark, tmp_path):
+    # the mean of the three predictions is -1.25, but summed in double, in any order, it misses that by 2.2e-16
+    rows = [("c", f"plugin.{k}", 1.0, x, "s", "r", "t", "a", None) for k, x in enumerate((23.02, 21.2, 12.03))]
+    spark.createDataFrame(rows, P).write.parquet(f"{tmp_path}/pair_examples.parquet")
+    got = {r.tool_id: r.prediction for r in queries._virtual(spark, str(tmp_path)).collect()}
+    assert (got[NO_TOOL], got[ASK_CONFIRM]) == (0.25, 0.0)
