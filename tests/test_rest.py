@@ -169,3 +169,17 @@ def test_slates_fill_their_group(spark):
     assert {k for k in kinds(12) if k.startswith("sampled_")} <= {f"sampled_{k}" for k in range(2, 9)} and any(k.startswith("sampled_") for k in kinds(12))
     with pytest.raises(ValueError):
         actions.slates(states, group_size=0)
+
+
+def test_bm25_keeps_pairs_whole(spark):
+    # a pair that stands twice scores as it does once, and no join makes a row for each token of a pair
+    docs = spark.createDataFrame([("d1", "a_1 b b 知道"), ("d2", "b c"), ("d3", ""), ("d4", None)], "doc_id string, text string")
+    asked = spark.createDataFrame([("q1", "B 知 b x"), ("q2", None)], "query_id string, text string")
+    pairs = spark.createDataFrame([("q1", "d1"), ("q1", "d1"), ("q1", "d2"), ("q1", "d3"), ("q1", "none"), ("q2", "d1"), ("q9", "d2")], "query_id string, doc_id string")
+    out = similarity.bm25(asked, docs, pairs, "text", "text")
+    got = sorted((r.query_id, r.doc_id, round(r.bm25, 9)) for r in out.collect())
+    idf = lambda df: math.log(1 + (4 - df + 0.5) / (df + 0.5))
+    mean = 7 / 3  # a null text has no length
+    one = idf(2) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 5 / mean)) + idf(1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 5 / mean))
+    two = idf(2) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / mean))
+    assert got == [("q1", "d1", round(one, 9)), ("q1", "d1", round(one, 9)), ("q1", "d2", round(two, 9)), ("q1", "d3", 0.0), ("q1", "none", 0.0), ("q2", "d1", 0.0), ("q9", "d2", 0.0)]
