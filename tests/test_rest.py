@@ -1,10 +1,12 @@
 import json
 import math
+import random
 import re
 from collections import Counter
 from difflib import SequenceMatcher
-from itertools import combinations
+from itertools import combinations, product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,21 @@ def test_similar_tools_of_the_whole_table(spark, data):
     assert one == many
 
 
+def test_name_ratios():
+    rng = random.Random(4)
+    names = ["", "a", "aaaa", "ab" * 24, "ab" * 25, "x" * 250, "\U0001f600ab", *("".join(rng.choice("abc ") for _ in range(rng.randrange(60))) for _ in range(60))]
+    left, right = (np.array(x) for x in zip(*product(range(len(names)), repeat=2)))
+    got = similarity._ratios(names, similarity._codes(names), left, right)
+    assert got.tolist() == [SequenceMatcher(None, names[a], names[b]).ratio() for a, b in zip(left, right)]
+
+
+def test_similar_tools_move_no_copies(spark):
+    # blocks are read where they are compared: no tool is copied and exchanged for each block it meets
+    t = spark.createDataFrame([(f"plugin.t{k}", "n", f"word{k % 3} other", None) for k in range(40)], "tool_id string, name string, text string, keywords array<string>")
+    out = similarity.similar_tools(t, block=10)
+    assert "Exchange" not in out._jdf.queryExecution().toString() and out.count() > 0
+
+
 def test_actions(spark):
     s = "state_id string, tool_id string, score double, enabled boolean"
     states = spark.createDataFrame([("s", "good", 2.0, False), ("s", "bad", -2.0, True), ("s", "ok", 0.2, False)], s)
