@@ -206,3 +206,31 @@ def test_overlap_against_plain(spark):
     sides = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "test"), ("c", "train"), ("d", "valid")], "id string, split string")
     assert {x.id: x.partners for x in partner_counts(*split_overlap(both, sides, "id", "text", "split")).collect()} == {"a": 1, "b": 2, "d": 1}
     assert overlapping_ids(*split_overlap(df.limit(0), sp, "id", "text", "split")).collect() == []
+
+
+def test_overlap_in_blocks(spark, monkeypatch):
+    """Texts of shared phrases, nearly all of which meet: found over several blocks, and no pair of texts that only meets is shuffled."""
+    r = random.Random(7)
+    phrases = [" ".join(f"w{r.randrange(5000)}" for _ in range(12)) for _ in range(40)]
+    texts = {f"c{k:03}": " ".join(r.sample(phrases, 10)) for k in range(600)}
+    texts |= {f"d{k:03}": texts[f"c{k:03}"] + " and more of it" for k in range(20)}
+    side = {i: "train" if i[0] == "c" and k % 3 else "test" for k, i in enumerate(texts)}
+    df = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(2)
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def shuffled():
+        bus.waitUntilEmpty(30_000)
+        all_ = store.executorList(False)
+        return sum(all_.apply(k).totalShuffleWrite() for k in range(all_.size()))
+
+    def shingles(t):
+        w = t.split(" ")
+        return {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+
+    s = {i: shingles(t) for i, t in texts.items()}
+    want = {(e, t) for e in s for t in s if side[e] == "test" and side[t] == "train" and len(s[e] & s[t]) * 4 >= 3 * len(s[e])}
+    monkeypatch.setattr("verdigris.llm.overlap.BLOCK", 5000, raising=False)
+    before = shuffled()
+    found = split_overlap(df, spark.createDataFrame(list(side.items()), "id string, split string"), "id", "text", "split")
+    assert shuffled() - before < sum(map(len, texts.values()))
+    assert {(x.eval_id, x.train_id) for x in overlapping_ids(*found).collect()} == want and len(want) > 10

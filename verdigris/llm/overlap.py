@@ -2,18 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.sets import shingle_set
 from verdigris.plans.scratch import keep, materialise, scratch
 
-SAMPLE = 20_000  # training texts, at most about, in which stock phrases are looked for
-STOCK = 0.005  # a shingle in more of them than this share is stock: their number is bounded by a text's length
+BLOCK = 4_000_000  # shingles of training texts that a task indexes at once
+SEEN = 1 << 25  # places of a block's first sieve
+BATCH = 2000  # evaluation texts compared with a block at once
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets as bytes, which are read back without being taken apart."""
+    for b in batches:
+        flat = np.ascontiguousarray(b["x"].flatten().to_numpy(zero_copy_only=False), np.int64)
+        ends = np.r_[0, np.cumsum(pc.list_value_length(b["x"]).to_numpy(zero_copy_only=False))].astype(np.int32) * 8
+        yield pa.RecordBatch.from_arrays([b["txt"], pa.Array.from_buffers(pa.binary(), len(b["x"]), [None, pa.py_buffer(ends), pa.py_buffer(flat)])], ["txt", "x"])
+
+
+def _asked(files: list[str]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The evaluation texts, some at a time: their names, shingles and where each one's begin and end."""
+    for uri in files:
+        fs, path = pa_fs.FileSystem.from_uri(uri)
+        with fs.open_input_file(path) as f:
+            for b in pq.ParquetFile(f).iter_batches(BATCH, columns=["txt", "x"]):
+                x = b["x"]
+                if len(x):
+                    ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+                    yield b["txt"], np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int64), (ends - ends[0]) // 8
 
 
-def _share(part: Column, whole: Column, num: int, den: int) -> Column:
-    return part * den >= whole * num
+class _Block:
+    """Training texts and which of them have a shingle."""
+
+    def __init__(self, txt: list[pa.Array], keys: list[np.ndarray], sizes: list[np.ndarray]):
+        self.txt, self.keys, n = pa.concat_arrays(txt), np.concatenate(keys), np.concatenate(sizes)
+        self.ends = np.r_[0, np.cumsum(n)]
+        order = np.argsort(self.keys)
+        s = self.keys[order]
+        self.owner = np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
+        self.first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        self.items, self.df = s[self.first], np.diff(np.r_[self.first, len(s)])
+        self.seen = np.zeros(SEEN, bool)
+        self.seen[self.items & (SEEN - 1)] = True
+
+    def met(self, x: np.ndarray, ends: np.ndarray, free: np.ndarray, least: np.ndarray, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (evaluation text, training text) that meet in ``least`` of the probes."""
+        n = np.diff(ends)
+        upto = np.r_[0, np.cumsum(self.seen[x & (SEEN - 1)])]
+        some = n - np.diff(upto[ends]) <= free  # most end here
+        y, e = x[np.repeat(some, n)], np.repeat(np.flatnonzero(some), n[some])
+        at = np.minimum(np.searchsorted(self.items, y), len(self.items) - 1)
+        hit = self.items[at] == y
+        e, at = e[hit], at[hit]
+        lost = n - np.bincount(e, minlength=len(n))
+        hit = (lost <= free)[e]
+        e, at = e[hit], at[hit]
+        order = np.lexsort((self.df[at], e))  # a text's rarest shingles first
+        e, at = e[order], at[order]
+        rank = np.arange(len(e)) - np.searchsorted(e, e)
+        hit = rank < (free + agree - lost)[e]
+        e, at = e[hit], at[hit]
+        df = self.df[at]
+        upto, lo = np.cumsum(df), 0
+        while lo < len(e):  # whole texts at a time; one has at most all of the block
+            hi = max(np.searchsorted(upto, upto[lo] - df[lo] + BLOCK // 2, "right"), lo + 1)
+            hi = np.searchsorted(e, e[hi - 1], "right") if e[hi - 1] == e[lo] or hi == len(e) else np.searchsorted(e, e[hi], "left")
+            d = df[lo:hi]
+            rows = np.repeat(self.first[at[lo:hi]] - (np.cumsum(d) - d), d) + np.arange(d.sum())
+            code = np.repeat(e[lo:hi], d) * len(self.txt) + self.owner[rows]
+            code.sort()
+            start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            a, b = np.divmod(code[start], len(self.txt))
+            hit = np.diff(np.r_[start, len(code)]) >= least[a]
+            yield a[hit], b[hit]
+            lo = hi
 
 
 def split_overlap(texts: DataFrame, splits: DataFrame, id_col: str, text: str, split: str, train: str = "train", width: int = 3, share: tuple[int, int] = (3, 4), agree: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -27,49 +98,60 @@ def split_overlap(texts: DataFrame, splits: DataFrame, id_col: str, text: str, s
     several texts has a row for each. Other columns are ignored. Empty tables give empty results.
 
     The shared part of a long training text may be small, so signatures tuned to a Jaccard similarity would lose
-    pairs. The minwise bands here are one-sided: a training text stands in the bucket of each of its hashed
-    shingles; an evaluation text of n shingles, of which f = n - ceil(share * n) may be missing, takes its
-    f + ``agree`` least hashes and probes those buckets only. Of any f + c shingles a true partner has at least c, so a
-    pair met in fewer than ``agree`` buckets goes and no true pair is lost. Hashes are ordered in bands of document frequency, rare ones first: shingles that no training text
-    has count among the f + c and need no probe (most texts end there), and the buckets of stock phrases, which
-    hold most texts, are not opened. Candidates are verified on whole shingle sets.
+    pairs. Each task holds a block of training texts, with an index from shingle to text, and reads all evaluation texts,
+    whose shingles were written once; no pair of texts travels or is written but those of the result, and the disk
+    used is in proportion to the texts. An evaluation text of n shingles, of which f = n - ceil(share * n) may be missing,
+    probes f + ``agree`` of them, those rarest in the block first: of any f + c shingles a true partner has at least c, so a
+    pair met in fewer than ``agree`` probes goes and no true pair is lost. Shingles that the block does not have
+    count among the f + c (most texts end there), and stock phrases, which most texts have, are hardly ever probed.
+    Candidates are verified on whole shingle sets. Tasks read the evaluation texts with Arrow, which must know the shared
+    folder's file system. What a task holds is bounded by ``BLOCK``, whatever the size of the tables.
     """
     num, den = share
     rows = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     rows = rows.withColumn("txt", F.concat(F.hex(F.xxhash64("text")), F.lit("."), F.hex(F.xxhash64(F.lit(11), F.col("text")))))
     sides = splits.select(F.col(id_col).cast("string").alias("id"), F.lower(F.trim(F.col(split))).alias("split")).where("id is not null and split is not null")
     sides = sides.groupBy("id").agg(F.max(F.col("split") != train).alias("ev"), F.max(F.col("split") == train).alias("tr"))
-    members = keep(materialise(rows.select("id", "txt").distinct().join(sides, "id"), "members"))
-    flags = members.groupBy("txt").agg(F.max("ev").alias("ev"), F.max("tr").alias("tr"))
-    pool = rows.select("txt", "text").distinct().join(flags, "txt")
-    pool = materialise(pool.withColumn("rid", F.monotonically_increasing_id()), "texts")
-    sets, keys = shingle_set(F.col("text"), width), shingle_set(F.col("text"), width, 48)  # buckets need fewer bits than proof
-    training = pool.where("tr").select("rid", F.col("text"))
-    part = max(1, pool.where("tr").count() // SAMPLE)
-    some = training.where(F.pmod(F.xxhash64("rid"), F.lit(part)) == 0)
-    often = max(2, int(STOCK * some.count()))
-    stock = materialise(some.select(F.explode(keys).alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > often).select("s"), "stock")
-    held = training.select("rid", F.explode(keys).alias("s"))
-    index = held.join(F.broadcast(stock), "s", "left_anti").repartition("s")
-    stocked = held.join(F.broadcast(stock), "s", "left_semi")
-    spread = index.groupBy("s").agg(F.count("rid").alias("df"), F.lit(False).alias("hot")).union(stocked.groupBy("s").agg(F.count("rid").alias("df"), F.lit(True).alias("hot")))
-    asked = pool.where("ev").select(F.col("rid").alias("e"), keys.alias("x")).select("e", F.size("x").alias("n"), F.explode("x").alias("s"))
-    # shingles without a training text come first in the order; they are counted and need not travel
-    own = Window.partitionBy("e")
-    free = F.col("n") - F.ceil(F.col("n") * num / den)
-    known = asked.join(spread, "s").withColumn("lost", F.col("n") - F.count("s").over(own)).where(F.col("lost") <= free)
-    probes = known.withColumn("k", F.col("lost") + F.row_number().over(own.orderBy("df", "s"))).where(F.col("k") <= free + agree)
-    probes = probes.select("e", "s", "hot", F.least(F.lit(agree), F.col("n") - free).alias("least"))
-    met = probes.where("not hot").join(index, "s").union(probes.where("hot").join(stocked, "s")).groupBy("e", F.col("rid").alias("t")).agg(F.count("*").alias("met"), F.first("least").alias("least"))
-    near = materialise(met.where("met >= least").select("e", "t"), "near")
-    needed = near.select(F.col("e").alias("rid")).union(near.select("t")).distinct()
-    held = pool.select("rid", "txt", "text").join(needed, "rid", "left_semi").withColumn("x", sets).drop("text")
-    held = materialise(held, "held")
-    one = held.select(F.col("rid").alias("e"), F.col("txt").alias("e_txt"), F.col("x").alias("left"))
-    two = held.select(F.col("rid").alias("t"), F.col("txt").alias("t_txt"), F.col("x").alias("right"))
-    both = near.join(one, "e").join(two, "t").withColumn("common", F.size(F.array_intersect("left", "right")))
-    both = both.where(_share(F.col("common"), F.size("left"), num, den))
-    return members, keep(materialise(both.select(F.col("e_txt").alias("e"), F.col("t_txt").alias("t"), "common", (F.col("common") / F.size("left")).alias("contained")), "overlaps"))
+    size = BLOCK
+
+    def compare(block: _Block, files: list[str]) -> Iterator[pa.RecordBatch]:
+        for names, x, ends in _asked(files):
+            n = np.diff(ends)
+            need = -(-n * num // den)
+            for a, b in block.met(x, ends, n - need, np.minimum(agree, need), agree):
+                common = np.array([len(np.intersect1d(x[ends[i] : ends[i + 1]], block.keys[block.ends[j] : block.ends[j + 1]], assume_unique=True)) for i, j in zip(a, b)], np.int32)
+                ok = common >= need[a]
+                a, b, common = a[ok], b[ok], common[ok]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), block.txt.take(pa.array(b)), pa.array(common), pa.array(common / n[a])], ["e", "t", "common", "contained"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, have = ([], [], []), 0
+        for batch in batches:
+            n = pc.list_value_length(batch["x"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, ends, lo = batch["x"].flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(n)], 0
+            while lo < len(n):
+                hi = max(int(np.searchsorted(ends, ends[lo] + size - have, "right")) - 1, lo + (not have))
+                for part, new in zip(held, (batch["txt"].slice(lo, hi - lo), flat[ends[lo] : ends[hi]].copy(), n[lo:hi])):
+                    part.append(new)
+                have, lo = have + int(ends[hi] - ends[lo]), hi
+                if lo < len(n):
+                    yield from compare(_Block(*held), files)
+                    held, have = ([], [], []), 0
+        if have:
+            yield from compare(_Block(*held), files)
+
+    spark = texts.sparkSession
+    with scratch(spark):
+        members = keep(materialise(rows.select("id", "txt").distinct().join(sides, "id"), "members"))
+        flags = members.groupBy("txt").agg(F.max("ev").alias("ev"), F.max("tr").alias("tr"))
+        pool = materialise(rows.select("txt", "text").distinct().join(flags, "txt"), "texts")
+        sets = lambda side: pool.where(side).select("txt", shingle_set(F.col("text"), width).alias("x")).where(F.size("x") > 0)
+        files = materialise(sets("ev").mapInArrow(_packed, "txt string, x binary"), "asked").inputFiles()
+        length = pool.where("tr").agg(F.sum(F.length("text"))).first()[0] or 0
+        training = sets("tr").coalesce(max(3 * spark.sparkContext.defaultParallelism, length // size))  # few blocks, as each reads all evaluation texts
+        pairs = training.mapInArrow(blocks, "e string, t string, common int, contained double")
+        return members, keep(materialise(pairs, "overlaps"))
 
 
 def overlapping_ids(members: DataFrame, pairs: DataFrame) -> DataFrame:
