@@ -17,15 +17,17 @@ from verdigris.plans.scratch import keep, materialise, scratch
 
 BLOCK = 4_000_000  # shingles of training texts that a task indexes at once
 SEEN = 1 << 25  # places of a block's first sieve
+BINS = 1 << 21  # counters of a sample of at most about BLOCK shingles, which order an evaluation text's shingles
 BATCH = 2000  # evaluation texts compared with a block at once
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets as bytes, which are read back without being taken apart."""
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall in each of ``BINS``."""
+    n = np.zeros(BINS, np.int64)
     for b in batches:
-        flat = np.ascontiguousarray(b["x"].flatten().to_numpy(zero_copy_only=False), np.int64)
-        ends = np.r_[0, np.cumsum(pc.list_value_length(b["x"]).to_numpy(zero_copy_only=False))].astype(np.int32) * 8
-        yield pa.RecordBatch.from_arrays([b["txt"], pa.Array.from_buffers(pa.binary(), len(b["x"]), [None, pa.py_buffer(ends), pa.py_buffer(flat)])], ["txt", "x"])
+        n += np.bincount(b["x"].flatten().to_numpy(zero_copy_only=False) & (BINS - 1), minlength=BINS)
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (some.astype(np.int32), n[some].astype(np.int32))], ["bin", "n"])
 
 
 def _asked(files: list[str]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -55,21 +57,17 @@ class _Block:
         self.seen[self.items & (SEEN - 1)] = True
 
     def met(self, x: np.ndarray, ends: np.ndarray, free: np.ndarray, least: np.ndarray, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (evaluation text, training text) that meet in ``least`` of the probes."""
-        n = np.diff(ends)
-        upto = np.r_[0, np.cumsum(self.seen[x & (SEEN - 1)])]
-        some = n - np.diff(upto[ends]) <= free  # most end here
-        y, e = x[np.repeat(some, n)], np.repeat(np.flatnonzero(some), n[some])
+        """Pairs (evaluation text, training text) that meet in ``least`` of the probes, the first ``free + agree`` shingles of a text."""
+        n = np.minimum(np.diff(ends), free + agree)
+        at = np.repeat(ends[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        y, e = x[at], np.repeat(np.arange(len(n)), n)
+        hit = np.flatnonzero(self.seen[y & (SEEN - 1)])
+        hit = hit[(np.bincount(e[hit], minlength=len(n)) >= least)[e[hit]]]
+        y, e = y[hit], e[hit]
         at = np.minimum(np.searchsorted(self.items, y), len(self.items) - 1)
         hit = self.items[at] == y
         e, at = e[hit], at[hit]
-        lost = n - np.bincount(e, minlength=len(n))
-        hit = (lost <= free)[e]
-        e, at = e[hit], at[hit]
-        order = np.lexsort((self.df[at], e))  # a text's rarest shingles first
-        e, at = e[order], at[order]
-        rank = np.arange(len(e)) - np.searchsorted(e, e)
-        hit = rank < (free + agree - lost)[e]
+        hit = (np.bincount(e, minlength=len(n)) >= least)[e]
         e, at = e[hit], at[hit]
         df = self.df[at]
         upto, lo = np.cumsum(df), 0
@@ -101,9 +99,9 @@ def split_overlap(texts: DataFrame, splits: DataFrame, id_col: str, text: str, s
     pairs. Each task holds a block of training texts, with an index from shingle to text, and reads all evaluation texts,
     whose shingles were written once; no pair of texts travels or is written but those of the result, and the disk
     used is in proportion to the texts. An evaluation text of n shingles, of which f = n - ceil(share * n) may be missing,
-    probes f + ``agree`` of them, those rarest in the block first: of any f + c shingles a true partner has at least c, so a
-    pair met in fewer than ``agree`` probes goes and no true pair is lost. Shingles that the block does not have
-    count among the f + c (most texts end there), and stock phrases, which most texts have, are hardly ever probed.
+    probes f + ``agree`` of them, those that are rarest in a sample of the training texts: of any f + c shingles a true partner has at least c, so a
+    pair met in fewer than ``agree`` probes goes and no true pair is lost. Rare shingles are those that
+    few blocks have, where most texts end, and stock phrases, which most texts have, are hardly ever probed.
     Candidates are verified on whole shingle sets. Tasks read the evaluation texts with Arrow, which must know the shared
     folder's file system. What a task holds is bounded by ``BLOCK``, whatever the size of the tables.
     """
@@ -114,6 +112,15 @@ def split_overlap(texts: DataFrame, splits: DataFrame, id_col: str, text: str, s
     sides = sides.groupBy("id").agg(F.max(F.col("split") != train).alias("ev"), F.max(F.col("split") == train).alias("tr"))
     size = BLOCK
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingle sets as bytes, which are read back without being taken apart, a text's rarest shingles first."""
+        often = bins.value
+        for b in batches:
+            flat, n = b["x"].flatten().to_numpy(zero_copy_only=False), pc.list_value_length(b["x"]).to_numpy(zero_copy_only=False)
+            flat = flat[np.lexsort((flat, often[flat & (BINS - 1)], np.repeat(np.arange(len(n)), n)))]
+            ends = np.r_[0, np.cumsum(n)].astype(np.int32) * 8
+            yield pa.RecordBatch.from_arrays([b["txt"], pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flat)])], ["txt", "x"])
+
     def compare(block: _Block, files: list[str]) -> Iterator[pa.RecordBatch]:
         for names, x, ends in _asked(files):
             n = np.diff(ends)
@@ -147,8 +154,13 @@ def split_overlap(texts: DataFrame, splits: DataFrame, id_col: str, text: str, s
         flags = members.groupBy("txt").agg(F.max("ev").alias("ev"), F.max("tr").alias("tr"))
         pool = materialise(rows.select("txt", "text").distinct().join(flags, "txt"), "texts")
         sets = lambda side: pool.where(side).select("txt", shingle_set(F.col("text"), width).alias("x")).where(F.size("x") > 0)
-        files = materialise(sets("ev").mapInArrow(_packed, "txt string, x binary"), "asked").inputFiles()
         length = pool.where("tr").agg(F.sum(F.length("text"))).first()[0] or 0
+        some = sets("tr").where(F.pmod(F.xxhash64("txt"), F.lit(1 + length // size)) == 0).mapInArrow(_tally, "bin binary, n binary")
+        counts = np.zeros(BINS, np.int64)
+        for r in some.collect():
+            counts[np.frombuffer(r.bin, np.int32)] += np.frombuffer(r.n, np.int32)
+        bins = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))
+        files = materialise(sets("ev").mapInArrow(packed, "txt string, x binary"), "asked").inputFiles()
         training = sets("tr").coalesce(max(3 * spark.sparkContext.defaultParallelism, length // size))  # few blocks, as each reads all evaluation texts
         pairs = training.mapInArrow(blocks, "e string, t string, common int, contained double")
         return members, keep(materialise(pairs, "overlaps"))
