@@ -60,6 +60,19 @@ def test_candidates_hold_all_targets(spark, data):
     assert got.groupBy("conversation_id").agg(F.countDistinct("tool_id").alias("n"), F.max("pos").alias("m")).where("n <> m + 1").count() == 0
 
 
+def test_candidates_come_tool_by_tool(spark):
+    """Rows are handed over in the order of their tools, which is what keeps a large result small on disk."""
+    tools = spark.createDataFrame([(f"plugin.{k:03}", "plugin") for k in range(100)] + [(f"agent.{k:02}", "agent") for k in range(20)], "tool_id string, kind string")
+    conv = spark.createDataFrame([(f"c{k:03}", []) for k in range(400)], "conversation_id string, target_tool_ids array<string>")
+    parts = sampling.sample_candidates(conv, tools, 0.1).rdd.glom().collect()
+    sets = {}
+    for rows in parts:
+        assert sum(a.tool_id != b.tool_id for a, b in zip(rows, rows[1:])) < 120
+        for r in rows:
+            sets.setdefault(r.conversation_id, {})[r.pos] = r.tool_id
+    assert len(sets) == 400 and all(sorted(x) == list(range(30)) and len(set(x.values())) == 30 for x in sets.values())
+
+
 def test_specs(spark):
     s = "pos int, id string, name string, type string, description string, short_description string, keywords array<string>, passive boolean"
     rows = [(1, " plugin.alpha_x ", " A ", None, "d", "s", [" k ", "", "k", None], None), (2, "alpha_x", "B", None, "d", "s", ["k"], None), (3, "9bad", "C", None, "", "s", [], None), (4, "taken_id", "D", "plugin", "d", "s", ["k"], True)]

@@ -55,6 +55,7 @@ def assign_folds(df: DataFrame, k: int, key: str = "conversation_id", seed: int
 
 
 BATCH = 200_000  # rows that a task hands over at once
+ORDERED = 4_000_000  # rows that a task holds to put them in the order of their tools
 
 
 def _draw(rng: np.random.Generator, weights: np.ndarray, taken: np.ndarray, count: int) -> np.ndarray:
@@ -85,7 +86,8 @@ def sample_candidates(conversations: DataFrame, tools: DataFrame, rate: float =
 
     ``conversations`` has ``conversation_id, target_tool_ids``. Others are drawn by the column ``weight`` of ``tools``, if named. Every conversation has a generator of its own, of the seed and its id, so
     draws do not depend on each other, and any set of plugins can be drawn. Only the conversations are shuffled; each task
-    holds the catalogue's ids and makes whole sets, so that no row of the result is moved.
+    holds the catalogue's ids and makes whole sets, so that no row of the result is moved. A task's rows come tool by tool, some
+    millions at a time: so written they take a fifth of the room that they take set by set.
     """
     if not 0 <= rate <= 1:
         raise ValueError("rate must be in [0, 1]")
@@ -102,7 +104,7 @@ def sample_candidates(conversations: DataFrame, tools: DataFrame, rate: float =
         agents, plugins, weights = shared.value
         names, number = pa.array(agents + plugins, pa.string()), {x: n for n, x in enumerate(plugins)}
         always = np.arange(len(agents))
-        step = max(1, BATCH // max(1, len(agents) + k))
+        step = max(1, ORDERED // max(1, len(agents) + k))
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch, made = whole.slice(at, step), []
@@ -112,11 +114,15 @@ def sample_candidates(conversations: DataFrame, tools: DataFrame, rate: float =
                     taken = np.zeros(len(plugins), bool)
                     taken[forced] = True
                     drawn = _draw(rng, weights, taken, k - len(forced)) if plugins else always[:0]
-                    made.append(rng.permutation(np.concatenate([always, len(agents) + np.array(forced, np.int64), len(agents) + drawn])))
+                    made.append(rng.permutation(np.concatenate([always, len(agents) + np.array(forced, np.int64), len(agents) + drawn])).astype(np.int32))
                 sizes = [len(x) for x in made]
-                ids = batch["conversation_id"].take(pa.array(np.repeat(np.arange(len(made)), sizes)))
-                pos = pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), pa.int32())
-                yield pa.RecordBatch.from_arrays([ids, pos, names.take(pa.array(np.concatenate(made)))], ["conversation_id", "pos", "tool_id"])
+                tool, owner = np.concatenate(made), np.repeat(np.arange(len(made), dtype=np.int32), sizes)
+                pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                order = np.argsort(tool, kind="stable")
+                for lo in range(0, len(order), BATCH):
+                    part = order[lo : lo + BATCH]
+                    columns = [batch["conversation_id"].take(pa.array(owner[part])), pa.array(pos[part], pa.int32()), names.take(pa.array(tool[part]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["conversation_id", "pos", "tool_id"])
 
     dealt = conv.repartition(4 * spark.sparkContext.defaultParallelism)
     return dealt.mapInArrow(sets, f"conversation_id {dict(conv.dtypes)['conversation_id']}, pos int, tool_id string")
